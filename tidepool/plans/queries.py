@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.checkpoint import cut
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
 from tidepool.operators import chunking, filters, search
@@ -275,10 +276,10 @@ def context_assemble(spark, sf):
 def three_stage(spark, sf):
     """R5, R9, §3.2: questions over chunks of whole documents, with the first two rows selected."""
     embed = get_embedding("hashing")
-    small, medium = (c.withColumn("embedding", embed(F.col("embed_text"))) for c in chunk(_pages(spark, sf)))
+    small, medium = (cut(c.withColumn("embedding", embed(F.col("embed_text")))) for c in chunk(_pages(spark, sf)))  # as stores
     b = _table(spark, sf, "benchmark").where("item_id < 20")
     q = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("num_query"), tx.clean_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("embedding"))
-    return _longs(retrieval.retrieve(small, medium, q).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
+    return _longs(retrieval.retrieve(small, medium, cut(q)).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
 
 
 QUERIES = {
