@@ -21,6 +21,7 @@ repeat are scored alike. Null labels and extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import cut
+
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 4_000
 #: Entries of a task's counts before they are sent on.
@@ -54,7 +57,6 @@ class Model:
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
-    per_term: float = 0.0  # weight of log(1 + number of known terms)
 
     def known(self, text: str) -> list[str]:
         words = set(_WORD.findall(text.lower()))
@@ -70,8 +72,7 @@ class Model:
         return self._starts
 
     def score(self, text: str) -> float:
-        known = self.known(text)
-        z = self.bias + sum(self.weights[t] for t in known) + self.per_term * np.log1p(len(known))
+        z = self.bias + sum(self.weights[t] for t in self.known(text))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -102,13 +103,13 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return p, rate, weight
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray, target: np.ndarray, ridge: float = 0.5, steps: int = 600) -> tuple[float, np.ndarray, float]:
-    """Ridge logistic regression on soft targets: sparse 0/1 entries and one dense feature, by accelerated gradient steps."""
+def logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, target: np.ndarray, ridge: float = 0.05, steps: int = 800) -> tuple[float, np.ndarray]:
+    """Ridge logistic regression on soft targets over sparse 0/1 entries, by accelerated gradient steps."""
     n = len(target)
-    w, bias = np.zeros(n_cols + 1), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
-    product = lambda x, b: b + x[-1] * dense + np.bincount(rows, weights=x[cols], minlength=n)
-    back = lambda g: np.append(np.bincount(cols, weights=g[rows], minlength=n_cols), g @ dense)
-    x, top = np.ones(n_cols + 1), 1.0  # the largest curvature, by power iteration
+    w, bias = np.zeros(n_cols), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
+    product = lambda x, b: b + np.bincount(rows, weights=x[cols], minlength=n)
+    back = lambda g: np.bincount(cols, weights=g[rows], minlength=n_cols)
+    x, top = np.ones(n_cols), 1.0  # the largest curvature, by power iteration
     for _ in range(20):
         x = back(product(x, 0.0))
         top = float(np.linalg.norm(x))
@@ -120,14 +121,32 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray,
         new, new_bias = ahead - step * (back(g) + ridge * ahead), ahead_bias - step * float(g.sum())
         ahead, ahead_bias = new + k / (k + 3) * (new - w), new_bias + k / (k + 3) * (new_bias - bias)
         w, bias = new, new_bias
-    return bias, w[:-1], float(w[-1])
+    return bias, w
+
+
+def _signature(text: str) -> int:
+    """The least hash of three words in a row: near copies mostly share it, other texts hardly ever."""
+    words = _WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signatures = pa.array([_signature(t or "") for t in batch.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, signatures], names=[*batch.schema.names, "signature"])
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """label, text of at most ``rows`` labelled rows that may be learnt from, chosen by a hash of their id."""
+    """label, text of at most ``rows`` labelled rows that may be learnt from, chosen by a hash of their id.
+
+    Of near copies one stays, the smallest id: a text's words must not count as often as it was copied.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    signed = found.mapInArrow(_sign, "doc_id long, label int, text string, signature long")
+    one = signed.groupBy("signature").agg(F.min(F.struct("doc_id", "text", "label")).alias("x"))
+    return cut(one.select("x.label", "x.text"))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
         share = n_toxic / max(1, n_toxic + n_clean)
         return Model(bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     counted = sample.mapInArrow(_count_terms, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    counted = cut(counted.where("n_toxic > 0"))
     t, c = F.col("n_toxic"), F.col("n") - F.col("n_toxic")
     lean = F.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1)))
-    mined = counted.where(t >= 3).withColumn("lean", lean).where("lean > 1").withColumn("gain", F.col("lean") * t).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    # how unlikely the toxic share is by chance, in nats; as many terms are tried, chance terms reach the log of their number
+    share = n_toxic / (n_toxic + n_clean)
+    gain = t * F.log(t / (F.col("n") * share)) + F.when(c > 0, c * F.log(c / (F.col("n") * (1 - share)))).otherwise(0.0)
+    least = float(np.log(max(1, counted.count())))
+    mined = counted.withColumn("lean", lean).withColumn("gain", gain).where((F.col("lean") > 2) & (F.col("gain") > least)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     if not mined:
-        share = n_toxic / (n_toxic + n_clean)
         return Model(bias=float(np.log(share / (1 - share))))
     lexicon = Model(bias=0.0, weights={r["term"]: r["lean"] for r in mined})
 
@@ -178,19 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
 
     # lexicon voters hold whole words, pattern voters beginnings of one length; terms of like strength share no voter by design
     kind = np.array([0 if not x.endswith("*") else len(x) - 1 - PREFIXES[0] + 1 for x in lexicon.weights])
-    share = voters // (len(PREFIXES) + 2)
-    of_term = kind * share + np.arange(len(kind)) % share
-    votes = np.zeros((len(got), share * (len(PREFIXES) + 1) + 3), bool)
+    each = voters // (len(PREFIXES) + 2)
+    of_term = kind * each + np.arange(len(kind)) % each
+    votes = np.zeros((len(got), each * (len(PREFIXES) + 1) + 3), bool)
     votes[rows, of_term[cols]] = True
     strength = np.bincount(rows, weights=np.array(list(lexicon.weights.values()))[cols], minlength=len(got))
     for i, least in enumerate((3, 6, 12)):  # patterns of the whole text: summed lean of what it holds
-        votes[:, share * (len(PREFIXES) + 1) + i] = strength >= least
-    prior = n_toxic / (n_toxic + n_clean)
+        votes[:, each * (len(PREFIXES) + 1) + i] = strength >= least
     start = np.where(label == 1, 0.9, 0.1)
-    posterior, _, _ = label_model(votes, prior, start)
-    dense = np.log1p(np.bincount(rows, minlength=len(got)))
-    bias, w, extra = logistic(rows, cols, len(kind), dense, 0.5 * posterior + 0.5 * label)
-    return Model(bias=bias, weights=dict(zip(lexicon.weights, w.tolist(), strict=True)), per_term=extra)
+    posterior, _, _ = label_model(votes, share, start)
+    bias, w = logistic(rows, cols, len(kind), 0.5 * posterior + 0.5 * label)
+    return Model(bias=bias, weights=dict(zip(lexicon.weights, w.tolist(), strict=True)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
