@@ -109,6 +109,11 @@ SELECT conv_id, turn, CASE conv_id % 3
   WHEN 0 THEN array_to_string(list_transform(regexp_extract_all(chr(10) || '1. ' || t || chr(10) || '2. why ' || t, '\d+\.\s[^\n]*')[1:3], lambda x: regexp_replace(x, '^\d+\.\s', '')), '|')
   WHEN 1 THEN regexp_replace(trim(t, ' ' || chr(9) || chr(11) || chr(12)), '^Query: ?', '') || '|again'
   ELSE 'what is ' || trim(t, ' ' || chr(9) || chr(11) || chr(12)) END AS questions FROM c""",
-    "pair_centre": """WITH x AS (SELECT source, coalesce(max(win_hi), 0) AS m FROM win GROUP BY source) SELECT 1""",
+    "speaker_strip": f"SELECT conv_id, turn, regexp_replace({_SPEAKER} || text, '^Human: ', '') AS line, role AS provider, CAST(conv_id AS VARCHAR) AS model, 'file.gguf' AS file FROM conversations",
+    "prompt_refine": f"""WITH h AS (SELECT conv_id, string_agg(chr(10) || {_SPEAKER} || coalesce(text, ''), '' ORDER BY turn) AS history, arg_max(text, turn) AS question FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, 'Conversation so far:' || history || chr(10) || 'Rewrite the user''s last input as one to three questions that can be understood alone, numbered from 1.' || chr(10) || 'Input: ' || question || chr(10) || 'Questions:' AS p FROM h)
+SELECT conv_id, md5('Files at hand: a.txt, b.txt' || chr(10) || p) AS prompt_md5, md5('[INST] Files at hand: a.txt' || chr(10) || p || ' [/INST]') AS wrapped_md5 FROM p""",
+    "prompt_answer": """WITH s AS (SELECT conv_id, turn, text, 'Answer from the contexts alone, and say so if they do not hold the answer.' || chr(10) || text || chr(10) || role AS system FROM conversations)
+SELECT conv_id, turn, md5('Below are numbered contexts. Name those that help to answer, most helpful first, as a list such as [0, 2]; [] if none does.' || chr(10) || text || chr(10) || chr(10) || 'Question: why?' || chr(10) || 'List:') AS select_md5,
+  md5(system || chr(10) || 'Question: why?' || chr(10) || 'Answer:') AS plain_md5, md5(system) AS system_md5, 'why?' AS human FROM s""",
 }
-del SQL["pair_centre"]  # crc32 isn't in the SQL engine

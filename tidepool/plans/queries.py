@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.checkpoint import cut
+from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
 from tidepool.operators import chunking, filters, search
@@ -282,11 +283,58 @@ def three_stage(spark, sf):
     return _longs(retrieval.retrieve(small, medium, cut(q)).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
 
 
+def speaker_strip(spark, sf):
+    """A typed line without its speaker; parts of a model's name."""
+    c = _table(spark, sf, "conversations")
+    typed = F.concat(tx.speaker(F.col("role")), "text")
+    parts = tx.model_parts(F.concat_ws("|", "role", F.col("conv_id").cast("string"), F.lit("file.gguf")))
+    return c.select("conv_id", "turn", tx.strip_speaker(typed).alias("line"), parts[0].alias("provider"), parts[1].alias("model"), parts[2].alias("file"))
+
+
+def prompt_refine(spark, sf):
+    """The prompt that asks for standalone questions, for each conversation's last turn."""
+    c = _table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+    full = conversation.render_history(c).join(last, "conv_id")
+    return full.select("conv_id", F.md5(prompts.refine("stub", F.lit("a.txt, b.txt"), F.col("history"), F.col("question"))).alias("prompt_md5"), F.md5(prompts.refine("llama", F.lit("a.txt"), F.col("history"), F.col("question"))).alias("wrapped_md5"))
+
+
+def prompt_answer(spark, sf):
+    """Selection and answer prompts, plain and as messages."""
+    c = _table(spark, sf, "conversations")
+    chat = prompts.answer("stub", F.col("text"), F.col("role"), F.lit("why?"), chat=True)
+    plain = prompts.answer("stub", F.col("text"), F.col("role"), F.lit("why?"))
+    pick = prompts.select("stub", F.col("text"), F.lit("why?"))
+    return c.select("conv_id", "turn", F.md5(pick).alias("select_md5"), F.md5(plain).alias("plain_md5"), F.md5(chat[0]["text"]).alias("system_md5"), chat[1]["text"].alias("human"))
+
+
+def chunk_recursive(spark, sf):
+    """C2 with separators, tried from coarse to fine."""
+    return _longs(chunking.split_recursively(_pages(spark, sf), 100, 10).select("source", "small_chunk_idx", "n_chunks", F.md5("raw_text").alias("raw_md5")))
+
+
+def hashed_embedding(spark, sf):
+    """Unit vectors of a built-in provider, by their first components."""
+    v = get_embedding("hashing")(F.col("text"))
+    return _table(spark, sf, "benchmark").select("item_id", v.alias("v")).select("item_id", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 6).alias("norm"))
+
+
+def answered_turns(spark, sf):
+    """Whole turns for five conversations' inputs over all documents, with the stub model."""
+    embed = get_embedding("hashing")
+    small, medium = (cut(c.withColumn("embedding", embed(F.col("embed_text")))) for c in chunk(_pages(spark, sf)))
+    asked = _table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("conv_id"), F.concat(F.lit("Human: "), F.regexp_replace("text", "[\\r\\n]", " ")).alias("question"))
+    turns = _table(spark, sf, "conversations").where("conv_id < 5")
+    out = conversation.answer_turns(asked, turns, small, medium)
+    return out.select("conv_id", F.array_join("questions", "|").alias("questions"), F.md5("context").alias("context_md5"), F.md5("answer").alias("answer_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, enrich_md5, clean_tokens,
         filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, question_split, id_parse, snippet_render, context_assemble, three_stage,
+        speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
     )
 }
