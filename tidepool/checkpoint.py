@@ -8,6 +8,9 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+#: While it is on, Spark drops a query's shuffle files as it ends. What is checkpointed needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage, in the folder of ``spark.checkpoint.dir``.
@@ -23,4 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="tidepool-checkpoints-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    conf, was = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting counts as a plan is made, so it is made here
+    finally:
+        conf.set(_CLEANUP, was)
