@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.checkpoint import cut
+
+__all__ = ["cut", "lower_ascii", "row_key", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,21 +27,3 @@ def row_key(col: str = "text") -> Column:
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z alone; letters beyond ASCII stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, in the folder that all executors share.
-
-    The folder is that of ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder, which goes when Python ends.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="tidepool-checkpoints-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
