@@ -26,15 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Chunks whose ids a worker remembers before it starts anew.
+CACHE_WORDS = 1_200_000
+
+
+class _Index(dict):
+    """Numbers chunks as they are first seen, and notes them."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class WordCache:
     """Token ids of texts by way of their space-separated chunks.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its chunks in order; a chunk's ids are computed once.
+    are those of its chunks in order; a chunk's ids are computed once. Nor does
+    it join letters to a full stop or comma behind them, or tell apart the case
+    of ASCII letters, so such chunks are put together from known ones.
     """
 
     def __init__(self, path: str):
@@ -44,12 +59,19 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index = _Index()
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
-        self.starts, self.sizes = [0], [0]
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _room(self, ids: int) -> None:
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.index) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+
+    def _tokenize(self, words: list[str]) -> None:
         # one call for many words: a newline between two chunks parts them, and ids are cut by character place
         for at in range(0, len(words), 4096):
             block = words[at : at + 4096]
@@ -57,35 +79,68 @@ class WordCache:
             ids = np.array(enc.ids, np.uint32)
             first = np.array([o[0] for o in enc.offsets], np.int64)
             ends = np.cumsum(np.array([len(w) + 1 for w in block], np.int64))
-            which = np.searchsorted(ends, first, side="right")
-            sizes = np.bincount(which, minlength=len(block)) if len(ids) else np.zeros(len(block), np.int64)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            sizes = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(block))
+            self._room(len(ids))
             self.flat[self.used : self.used + len(ids)] = ids
-            starts = self.used + np.cumsum(sizes) - sizes
+            slots = np.array([self.index[w] for w in block])
+            self.starts[slots] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[slots] = sizes
             self.used += len(ids)
-            for w in block:
-                self.index[w] = len(self.index)
-            self.starts += starts.tolist()
-            self.sizes += sizes.tolist()
+
+    def _learn(self) -> None:
+        index, fresh = self.index, self.index.fresh
+        whole, parts = [], []
+        for w in fresh:
+            base = w.lower() if w.isascii() and "<" not in w else w  # special tokens are told apart by case
+            if base[-1:] in (".", ",") and base[:-1].isalpha():
+                parts.append((w, base[:-1], base[-1]))
+            elif base != w:
+                parts.append((w, base, ""))
+            else:
+                whole.append(w)
+        index.fresh = []
+        for _, base, end in parts:
+            index[base]
+            index[end]
+        self._tokenize(whole + index.fresh)
+        index.fresh = []
+        if not parts:
+            return
+        w, base, end = (np.array([index[p[i]] for p in parts]) for i in range(3))
+        sizes = self.sizes[base] + self.sizes[end]
+        n = int(sizes.sum())
+        self._room(n)
+        self.starts[w] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[w] = sizes
+        self.flat[self.used : self.used + n] = self._ids(np.stack([base, end], 1).ravel())
+        self.used += n
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        n = self.sizes[slots]
+        step = np.repeat(self.starts[slots] - (np.cumsum(n) - n), n)
+        return self.flat[step + np.arange(len(step))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for c in chunks for w in c} - self.index.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        starts, sizes = np.array(self.starts), np.array(self.sizes)
-        get, out = self.index.__getitem__, []
-        for c in chunks:
-            at = np.fromiter(map(get, c), np.int64, len(c))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            step = np.repeat(starts[at] - (ends - n), n)
-            out.append(self.flat[step + np.arange(len(step))])
-        return out
+        get, slots = self.index.__getitem__, []
+        for t in texts:
+            chunks = t.replace("\n", " ").split(" ")
+            slots.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+        if self.index.fresh:
+            self._learn()
+        return [self._ids(s) for s in slots]
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """One cache a worker process, which serves the tasks that it runs in turn."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
 
 
 class _Packer:
@@ -187,7 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         from pyspark import TaskContext
 
         arrow = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
-        cache, packer = WordCache(tokenizer_path), _Packer(window)
+        cache, packer = word_cache(tokenizer_path), _Packer(window)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
         def flush() -> pa.RecordBatch:
