@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: All letters, all digits, or something with a digit and an ASCII letter.
+KEPT = r"^(?:\p{L}+|\p{Nd}+|(?=.*[0-9])(?=.*[a-zA-Z]).+)$"
 SPACES = r"[ \t\n\r\f\x0B]+"
 #: Common English function words that the lexical search skips.
 STOPWORDS = (
@@ -31,9 +33,7 @@ def clean_tokens(text: Column, lemmatize: Lemmatizer | None = None) -> Column:
     """
     plain = F.regexp_replace(F.lower(F.replace(text, F.lit("[SEP]"), F.lit(""))), PUNCTUATION, "")
     tokens = F.split(plain, SPACES)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    kept = F.filter(tokens, lambda w: w.rlike(r"^\p{L}+$") | w.rlike(r"^\p{Nd}+$") | (w.rlike("[0-9]") & w.rlike("[a-zA-Z]")))
-    kept = F.filter(kept, lambda w: ~F.array_contains(stop, w))
+    kept = F.filter(tokens, lambda w: w.rlike(KEPT) & ~w.isin(STOPWORDS))
     return F.transform(kept, lemmatize) if lemmatize else kept
 
 
