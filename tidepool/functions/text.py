@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns and formats that results depend on.
+NUMBERED = r"\d+\.\s(.*?)(?=\n\d+\.|\n|$)"
+MARKED = r"(?i)standalone[^\n]*:[^\n](.*)"
+PREFIX = r"^\((\d+)\)\.? ?|^\d+\.? ?\)?|^(\d+)\) ?|^(\d+)\) ?|^[Qq]uery \d+: ?|^[Qq]uery: ?"
+ID_LIST = r"\[(\d+(?:,\s*\d+)*)\]"
+SPEAKERS = {"human": "Human: ", "ai": "Assistant: "}
+SNIPPET = "Context {i}:\n{{{text}}}. {{source: {source}}}"
+FILE_CONTEXT = "\nContext about {file}:\n{{{texts}}}\n"
+
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 #: All letters, all digits, or something with a digit and an ASCII letter.
 KEPT = r"^(?:\p{L}+|\p{Nd}+|(?=.*[0-9])(?=.*[a-zA-Z]).+)$"
@@ -63,27 +73,28 @@ def extension(path: Column) -> Column:
 def standalone_questions(answer: Column, at_most: int = 3) -> Column:
     """Questions in a model's answer: numbered items, else the lines behind a 'standalone ...:' mark, else all lines."""
     # UNIX_LINES: a carriage return is no line end here
-    numbered = F.regexp_extract_all(answer, F.lit(r"(?d)\d+\.\s(.*?)(?=\n\d+\.|\n|$)"), F.lit(1))
-    marked = r"(?is)standalone[^\n]*:[^\n](.*)"
+    numbered = F.regexp_extract_all(answer, F.lit("(?d)" + NUMBERED), F.lit(1))
+    marked = "(?s)" + MARKED
     source = F.when(answer.rlike(marked), F.btrim(F.regexp_extract(answer, marked, 1), F.lit(" \t\n\r\x0b\x0c"))).otherwise(answer)
     lines = F.filter(F.transform(F.split(source, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))), lambda x: x != "")
     prefix = r"^\((\d+)\)\.? ?|^\d+\.? ?\)?|^(\d+)\) ?|^[Qq]uery \d+: ?|^[Qq]uery: ?"
-    plain = F.transform(lines, lambda x: F.regexp_replace(x, prefix, ""))
+    plain = F.transform(lines, lambda x: F.regexp_replace(x, PREFIX, ""))
     return F.slice(F.when(F.size(numbered) > 0, numbered).otherwise(plain), 1, at_most)
 
 
 def chosen_ids(answer: Column) -> Column:
     """The first bracketed list of numbers in a model's answer; an empty array if there is none."""
-    inside = F.regexp_extract(answer, r"\[(\d+(?:,\s*\d+)*)\]", 1)
+    inside = F.regexp_extract(answer, ID_LIST, 1)
     return F.when(inside == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(inside, r",\s*"), lambda x: x.cast("int")))
 
 
 def strip_speaker(line: Column) -> Column:
-    return F.regexp_replace(line, "^Human: ", "")
+    return F.regexp_replace(line, "^" + SPEAKERS["human"], "")
 
 
 def speaker(role: Column) -> Column:
-    return F.when(role.isin("human", "user"), "Human: ").when(role.isin("ai", "assistant"), "Assistant: ").otherwise(F.concat(role, F.lit(": ")))
+    known = F.when(role.isin("human", "user"), SPEAKERS["human"]).when(role.isin("ai", "assistant"), SPEAKERS["ai"])
+    return known.otherwise(F.concat(role, F.lit(": ")))
 
 
 def model_parts(name: Column) -> Column:
@@ -91,11 +102,17 @@ def model_parts(name: Column) -> Column:
     return F.split(name, r"\|")
 
 
+def _fill(form: str, **values: Column) -> Column:
+    """A format with columns for its fields."""
+    parts = [c for text, field, _, _ in Formatter().parse(form) for c in ([F.lit(text)] if text else []) + ([values[field]] if field else [])]
+    return F.concat(*parts)
+
+
 def snippet(i: Column, text: Column, source: Column) -> Column:
     """A numbered context for the model that selects."""
-    return F.concat(F.lit("Context "), i.cast("string"), F.lit(":\n{"), text, F.lit("}. {source: "), source, F.lit("}"))
+    return _fill(SNIPPET, i=i.cast("string"), text=text, source=source)
 
 
 def file_context(file: Column, texts: Column) -> Column:
     """A file's texts for the model that answers."""
-    return F.concat(F.lit("\nContext about "), file, F.lit(":\n{"), texts, F.lit("}\n"))
+    return _fill(FILE_CONTEXT, file=file, texts=texts)
