@@ -44,7 +44,7 @@ def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.where((F.char_length("key") >= min_chars) & F.col("doc_id").isNotNull()).select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = 10, hot_lines: int = 20_000) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = 10, hot_lines: int = 1_000) -> DataFrame:
     """doc_id, row_key, n_lines, n_dropped, dropped: array<long>, bit i of word w is line 64 w + i.
 
     A bucket is hot if it holds over ``hot_lines`` lines and over four times the mean.
