@@ -64,7 +64,7 @@ def test_questions(spark, raw, want):
     assert one(spark, raw, tx.standalone_questions) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("pick [0, 2,1] or [3]", [0, 2, 1]), ("[]", []), ("no", []), ("[a] [4]", [4])])
+@pytest.mark.parametrize(("raw", "want"), [("pick [0, 2,1] or [3]", [0, 2, 1]), ("[ 4 ,\n5 ]", [4, 5]), ("[]", []), ("no", []), ("[a] [4]", [4])])
 def test_ids(spark, raw, want):
     assert one(spark, raw, tx.chosen_ids) == want
 

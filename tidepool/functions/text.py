@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NUMBERED = r"\d+\.\s(.*?)(?=\n\d+\.|\n|$)"
 MARKED = r"(?i)standalone[^\n]*:[^\n](.*)"
 PREFIX = r"^\((\d+)\)\.? ?|^\d+\.? ?\)?|^(\d+)\) ?|^(\d+)\) ?|^[Qq]uery \d+: ?|^[Qq]uery: ?"
-ID_LIST = r"\[(\d+(?:,\s*\d+)*)\]"
+ID_LIST = r"\[\s*\d+\s*(?:,\s*\d+\s*)*\]"
 SPEAKERS = {"human": "Human: ", "ai": "Assistant: "}
 SNIPPET = "Context {i}:\n{{{text}}}. {{source: {source}}}"
 FILE_CONTEXT = "\nContext about {file}:\n{{{texts}}}\n"
@@ -84,8 +84,8 @@ def standalone_questions(answer: Column, at_most: int = 3) -> Column:
 
 def chosen_ids(answer: Column) -> Column:
     """The first bracketed list of numbers in a model's answer; an empty array if there is none."""
-    inside = F.regexp_extract(answer, ID_LIST, 1)
-    return F.when(inside == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(inside, r",\s*"), lambda x: x.cast("int")))
+    numbers = F.regexp_extract_all(F.regexp_extract(answer, ID_LIST, 0), F.lit(r"\d+"), F.lit(0))
+    return F.transform(numbers, lambda x: x.cast("int"))
 
 
 def strip_speaker(line: Column) -> Column:
