@@ -160,7 +160,7 @@ def _find_runs(span: int):
 
 
 def _settle(span: int):
-    """Over runs sorted by anchor, content, document: spans to remove, and runs whose bytes are asked for."""
+    """Over runs sorted by anchor, content, document: spans to remove, as minus their length in place of an anchor, and runs whose bytes are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64) for _ in RUN]
@@ -169,7 +169,7 @@ def _settle(span: int):
             anchor, content, doc, info = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
             held = np.arange(len(anchor)) < len(rest[0])
             settled = (info >> COUNT_AT) & 127 == 0
-            out = [[doc[settled], info[settled] & 0xFFFF, info[settled] >> START_AT, content[settled], np.full(settled.sum(), -1), np.zeros(settled.sum(), np.int64)]]
+            out = [[doc[settled], info[settled], (info[settled] >> START_AT) - content[settled]]]
             anchor, content, doc, info, held = (x[~settled] for x in (anchor, content, doc, info, held))
             if len(anchor):
                 new_a = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -179,21 +179,21 @@ def _settle(span: int):
                 if held[0]:
                     many[0] |= was_many
                 least = doc == doc[np.flatnonzero(new_c)][of_c]
-                start, count, offset, key = _unpack(info)
-                out.append([doc[~least], key[~least], start[~least], start[~least] + count[~least] - 1 + span, np.full((~least).sum(), -1), np.zeros((~least).sum(), np.int64)])
+                count = (info >> COUNT_AT) & 127
+                out.append([doc[~least], info[~least], 1 - span - count[~least]])
                 ask = least & many[of_a] & ~(held & done)
-                out.append([doc[ask], key[ask], start[ask], start[ask] + count[ask] - 1 + span, anchor[ask], offset[ask]])
+                out.append([doc[ask], info[ask], anchor[ask]])
                 tail = (of_c == of_c[-1]) & least
                 rest = [anchor[tail], content[tail], doc[tail], info[tail]]
                 done = was_many = bool(many[-1])
             else:
                 rest = [x[:0] for x in rest]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc_id", "key", "start", "end", "anchor", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc_id", "info", "anchor"])
 
     return run
 
 
-FOUND_DDL = "doc_id long, key long, start long, end long, anchor long, offset long"
+FOUND_DDL = "doc_id long, info long, anchor long"
 
 
 def suffix_order(seq: list[int]) -> list[int]:
@@ -374,19 +374,24 @@ def _decide(span: int):
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(span: int):
+    """The bytes of the runs asked for; a run's offset is that of its anchor."""
     types = [("anchor", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("content", pa.binary())]
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            out: list[tuple] = []
-            texts = part.column(2).cast(pa.binary())
-            for i, (doc, key, asked) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                if asked:
-                    text = texts[i].as_py() or b""
-                    out += [(x["anchor"], x["offset"], doc, key, x["start"], text[x["start"] : x["end"]]) for x in asked]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out, strict=True), types, strict=True)], names=[n for n, _ in types])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                out: list[tuple] = []
+                for doc, text, asked in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    for x in asked or ():
+                        info = x["info"]
+                        start = info >> START_AT
+                        out.append((x["anchor"], (info >> OFFSET_AT) & 63, doc, info & 0xFFFF, start, text[start : start + ((info >> COUNT_AT) & 127) - 1 + span]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out, strict=True), types, strict=True)], names=[n for n, _ in types])
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,12 +428,15 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     # the texts are shuffled once: both joins below read the same exchange
     texts = own.repartition("doc_id", "key")
-    asked = found.where("anchor >= 0").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "offset", "start", "end")).alias("asked")).withColumnsRenamed({"doc_id": "d", "key": "k"})
-    fetched = texts.join(asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "text", "asked")
-    content = fetched.mapInArrow(_fetch, "anchor long, offset long, doc_id long, key long, start long, content binary")
+    of_text = [F.col("doc_id").alias("d"), F.col("info").bitwiseAND(F.lit(0xFFFF)).alias("k")]
+    there = (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))
+    asked = found.where("anchor >= 0").groupBy(*of_text).agg(F.collect_list(F.struct("anchor", "info")).alias("asked"))
+    content = texts.join(asked.hint("shuffle_hash"), there, "left").select("doc_id", "text", "asked").mapInArrow(_fetch(span), "anchor long, offset long, doc_id long, key long, start long, content binary")
     decided = content.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decide(span), "doc_id long, key long, start long, end long")
 
-    spans = found.where("anchor < 0").select("doc_id", "key", "start", "end").unionByName(decided)
-    per = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "d", "key": "k"})
-    joined = texts.join(per.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "spans")
+    start = F.shiftright("info", START_AT)
+    known = found.where("anchor < 0").select(*of_text, start.alias("start"), (start - F.col("anchor")).alias("end"))
+    spans = known.unionByName(decided.withColumnsRenamed({"doc_id": "d", "key": "k"}))
+    per = spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = texts.join(per.hint("shuffle_hash"), there, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
