@@ -240,8 +240,10 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """One document of each component stays: its smallest doc_id. Of rows that repeat that doc_id, one stays."""
-    own = docs.withColumn("__key", row_key())
+    # a null id gets a name of its own, so plain keys serve both the join and what follows it
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    own = docs.withColumn("__id", name).withColumn("__key", row_key())
     near = near_duplicates(docs, words)
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.row_key").alias("__first"))
-    kept = own.join(first, own["doc_id"].eqNullSafe(first["__doc"]) & (own["__key"] == first["__first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x")).select("x.doc_id", F.col("x.row_key").alias("__key"))
+    kept = own.join(first.select(name.alias("__id"), "__key"), ["__id", "__key"], "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
