@@ -24,21 +24,22 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, group: Sequence[str] = (),
     docs: group columns, id, tokens; queries: group columns, query_id, tokens.
     Statistics are those of a group's documents alone. A token in over half of
     them gets ``epsilon`` times the group's mean idf. Repeated query tokens count
-    again. Token counts are combined before they are shuffled, so a frequent
-    token costs a row a task and document group, not its occurrences.
+    again. Only tokens that are asked for are counted by document, and counts
+    are combined before they are shuffled.
     """
     g = list(group)
     sizes = docs.select(*g, id_col, F.size("tokens").alias("dl"), "tokens")
     stats = sizes.groupBy(*g).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sizes.select(*g, id_col, "dl", F.explode("tokens").alias("token")).groupBy(*g, id_col, "dl", "token").agg(F.count("*").alias("tf"))
+    asked = queries.select(*g, "query_id", F.explode("tokens").alias("token")).groupBy(*g, "query_id", "token").agg(F.count("*").alias("qtf"))
+    terms = asked.select(*g, "token").dropDuplicates()
+    tf = sizes.select(*g, id_col, "dl", F.explode("tokens").alias("token")).join(terms, [*g, "token"], "left_semi").groupBy(*g, id_col, "dl", "token").agg(F.count("*").alias("tf"))
     df = sizes.select(*g, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*g, "token").agg(F.count("*").alias("df"))
     one = F.lit(1).alias("__all")
     keys = g or ["__all"]
     idf = (df if g else df.select("*", one)).join(stats if g else stats.select("*", one), keys)
     idf = idf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select(*g, "query_id", F.explode("tokens").alias("token")).groupBy(*g, "query_id", "token").agg(F.count("*").alias("qtf"))
-    idf = idf.join(asked.select(*g, "token").dropDuplicates(), [*g, "token"], "left_semi").join(mean, keys)
+    idf = idf.join(terms, [*g, "token"], "left_semi").join(mean, keys)
     idf = idf.select(*g, "token", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     weight = tf.join(idf, [*g, "token"])
     weight = weight.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))

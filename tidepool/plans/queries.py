@@ -135,7 +135,8 @@ def window_stab(spark, sf):
 
 
 def _bm25_docs(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens"))
+    """Tokens once, as a chunk store keeps them: the search reads them for several statistics."""
+    return cut(_table(spark, sf, "documents").select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens")))
 
 
 def _questions(spark, sf):
