@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of, rows_of_sql
-from tidepool.llm import chat, decontaminate, line_dedup, packing, queries, secrets, sharding, simhash, suffix_dedup, top_k, toxicity
+from tidepool.llm import chat, decontaminate, line_dedup, packing, queries, secrets, sharding, shingles, simhash, suffix_dedup, top_k, toxicity
 from tidepool.llm.oracles import SQL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -393,6 +393,57 @@ def test_near_awkward(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+# shingles
+
+
+def shingle_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_pipeline_near_copies_by_brute_force(spark, sf):
+    """The pipeline's stage: planted near copies, chains and the table's own rows, by every pair's five-word Jaccard of 0.8."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        for _ in range(8):  # a chain: each copy changes the one before it
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(max(1, len(words) // 80)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    texts += ["a a a a a", "a a a a a a a", "one two", "One  two", None, " \n"]
+    sets = [shingle_sets(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+            p, q = sorted((group[i], group[j]))
+            group = [p if g == q else g for g in group]
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(spark, texts, 0), sf)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(group))
+
+
+def test_pairs_across_components(monkeypatch, spark, sf):
+    """With no star rounds at all, the comparison across components finds the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = rows_of(shingles.keep_one(docs).select("doc_id"))
+    monkeypatch.setattr(shingles, "ORDERS", 0)
+    assert rows_of(shingles.keep_one(docs).select("doc_id")) == got
+
+
+def test_shingles_awkward(spark):
+    df = awkward(spark)
+    groups = {(r["doc_id"], r["component_id"]) for r in shingles.near_duplicates(df).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 4), (7, 4), (None, 5), (5, 5)} <= groups
+    kept = shingles.keep_one(df)
+    assert kept.columns == df.columns
+    assert kept.where("doc_id in (1, 4, 8)").count() == 3 and kept.where("doc_id in (2, 3, 7)").count() == 0
+    assert shingles.keep_one(df.limit(0)).count() == 0
+
+
 # chat
 
 
