@@ -19,6 +19,15 @@ def test_other_queries_have_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_all_questions_and_conversations_are_answered(spark, sf):
+    ids = lambda df, c: {r[0] for r in df.select(c).distinct().collect()}
+    assert ids(QUERIES["three_stage"](spark, sf), "query_id") == ids(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
+    answers = QUERIES["answered_turns"](spark, sf).collect()
+    convs = ids(spark.read.parquet(f"{sf}/conversations.parquet"), "conv_id")
+    assert len(answers) == len(convs) and {r["conv_id"] for r in answers} == convs
+    assert all(r["questions"] for r in answers)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
