@@ -28,6 +28,13 @@ def test_all_questions_and_conversations_are_answered(spark, sf):
     assert all(r["questions"] for r in answers)
 
 
+def test_all_chunks_are_clustered(spark, sf):
+    chunks = QUERIES["chunk_windows_fine"](spark, sf).groupBy("source").count().collect()  # the same chunks of ten words
+    sets = QUERIES["interval_centroids"](spark, sf).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in sets} == {r["source"]: -(-r["count"] // 7) for r in chunks}
+    assert any(r["count"] > 1 for r in sets)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -226,11 +226,14 @@ def pair_centre(spark, sf):
 
 
 def interval_centroids(spark, sf):
-    """The windows of each file's chunks in order of their digests."""
-    small = chunking.add_windows(chunking.split_by_words(_pages(spark, sf), 10), 3, 18)
-    rows = small.withColumn("order", F.md5("raw_text")).groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "small_chunk_idx", F.col("win_lo").alias("lo"), F.col("win_hi").alias("hi")))), 1, 7).alias("x"))
+    """The windows of each file's chunks in order of their digests, in sets of seven."""
+    from pyspark.sql import Window
+
+    small = chunking.add_windows(chunking.split_by_words(_pages(spark, sf), 10), 3, 18).withColumn("order", F.md5("raw_text"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("order", "small_chunk_idx"))
+    rows = small.withColumn("set_no", F.floor((n - 1) / 7)).groupBy("source", "set_no").agg(F.array_sort(F.collect_list(F.struct("order", "small_chunk_idx", F.col("win_lo").alias("lo"), F.col("win_hi").alias("hi")))).alias("x"))
     pairs = F.transform("x", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
-    return rows.select("source", F.array_join(interval_centres(pairs).cast("array<string>"), ",").alias("centres"))
+    return rows.select("source", "set_no", F.array_join(interval_centres(pairs).cast("array<string>"), ",").alias("centres"))
 
 
 def history_render(spark, sf):
