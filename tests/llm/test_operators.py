@@ -318,10 +318,34 @@ def test_level_choice_by_brute_force():
 def test_word_cache():
     cache = packing.WordCache(queries.tokenizer_path())
     odd = ["á b́", "x\x1cy\x85z q", "  ", "", "İstanbul ΣΑΣ don't DON'T it's, 'S. K. ſ.", "ﬁ\r\nÅ", "<|endoftext|> a <|ENDOFTEXT|>.", "日本 ½²३ É, é.. a., a,. A. 1. .,"]
+    odd += ["Merhaba İ, İ.", "İ. ŉ, ǰ. ẖ.", "ΐ. e\u0307. é, e\u0301,"]
     for x in odd + [" ".join(odd)]:
         assert cache.encode([x])[0].tolist() == cache.tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_ids_over_all_of_unicode():
+    """Whole texts: every code point before a full stop and a comma, and random strings over all of Unicode."""
+    cache = packing.WordCache(queries.tokenizer_path())
+    assert cache.by_chunk
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(11)
+    letters = [c for c in points if chr(c).isalpha() and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0x17000)]
+    texts = [" ".join(f"{chr(c)}. a{chr(c)}, {chr(c)}b." for c in letters[i : i + 200]) for i in range(0, len(letters), 200)]
+    some = [ord(c) for c in " \n\t.,'<|>aAİß\u0301\u0307"]
+    texts += ["".join(chr(rng.choice(points if rng.random() < 0.4 else letters if rng.random() < 0.5 else some)) for _ in range(rng.randrange(1, 60))) for _ in range(6000)]
+    want = [e.ids for e in cache.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in cache.encode(texts)] == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    cache = packing.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not cache.by_chunk
+    texts = ["Two  words.\n\n  x", "", "İ. <|endoftext|>"]
+    assert [x.tolist() for x in cache.encode(texts)] == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # SimHash
 
 

@@ -43,19 +43,47 @@ class _Index(dict):
         return n
 
 
+#: The only normalizer and pre-tokenizer for which ``WordCache`` puts ids together from chunks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def has_known_rules(path: str) -> bool:
+    """Whether ids may be put together from chunks: these rules alone, and added tokens that hold a < and no white space."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER
+    plain = plain and not any(rules.get(x) for x in ("truncation", "padding")) and not rules["model"].get("dropout")
+    own = all("<" in t["content"] and t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in rules.get("added_tokens", ()))
+    return plain and own
+
+
 class WordCache:
     """Token ids of texts by way of their space-separated chunks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its chunks in order; a chunk's ids are computed once. Nor does
-    it join letters to a full stop or comma behind them, or tell apart the case
-    of ASCII letters, so such chunks are put together from known ones.
+    Under the rules of ``has_known_rules`` white space is dropped and no piece
+    crosses it, so a text's ids are those of its chunks in order; a chunk's ids
+    are computed once. ASCII letters are a piece of their own before a full stop
+    or comma, whatever their case, so such chunks are put together from known
+    ones. Letters beyond ASCII are not: some fall apart into letter and mark in
+    lower case, and a mark joins the full stop. With any other tokenizer each
+    text is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunk = has_known_rules(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -92,7 +120,7 @@ class WordCache:
         whole, parts = [], []
         for w in fresh:
             base = w.lower() if w.isascii() and "<" not in w else w  # special tokens are told apart by case
-            if base[-1:] in (".", ",") and base[:-1].isalpha():
+            if base[-1:] in (".", ",") and base[:-1].isalpha() and base.isascii():
                 parts.append((w, base[:-1], base[-1]))
             elif base != w:
                 parts.append((w, base, ""))
@@ -122,6 +150,8 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        if not self.by_chunk:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.index) > CACHE_WORDS:
             self._clear()
         get, slots = self.index.__getitem__, []
