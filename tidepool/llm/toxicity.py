@@ -1,15 +1,23 @@
 """Toxicity by weak supervision.
 
-Terms (words, and word beginnings of 4 to 6 letters as patterns) are counted
-over a bounded sample of labelled rows, and those that lean to toxic rows are
-dealt to many lexicon and pattern voters. A generative model of two classes
-estimates, by expectation maximisation, how often each voter fires in either class and
-how voters correlate within a class; correlated voters share their weight. Its
-posteriors label the sample, and a linear classifier over terms is trained on
-these posterior labels. The classifier then scores every whole text.
+Many voters look at each labelled row of a bounded sample; each votes toxic or
+clean, or abstains. Lexicon voters hold a share of a fixed list of insults, or of
+words that lean to toxic rows; pattern voters hold word beginnings of 4 to 6
+letters, or look at how much of a text such terms make up. A voter with no hit
+abstains on texts that are too short to judge.
+
+A generative model of two classes estimates, by expectation maximisation that
+starts at the share of toxic votes, how often each voter votes which way in
+either class and how voters correlate within a class; correlated voters share
+their weight. Gold labels find the terms of the mined voters and nothing else:
+the model never sees them, and the linear classifier over terms is trained on
+the model's posteriors alone. The classifier then scores every whole text.
 
 What is collected is bounded by ``sample_rows`` and ``max_terms``, both
-parameters; the model that is broadcast has at most ``max_terms`` weights.
+parameters; the model that is broadcast has at most ``max_terms`` weights and
+those of the fixed list. With ``copies_once`` sampled rows of one label that
+agree in four min-hashes of three-word shingles count once, so that a text's
+words don't count as often as it was copied.
 
 Defined results: labels are learnt only from rows whose crc32(doc_id as text)
 mod 3 is not 1, and language, source and doc_id are never inputs of a score. A
@@ -39,6 +47,17 @@ MAX_TERMS = 4_000
 COUNTER_ENTRIES = 400_000
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
+#: Words of a text from which on a voter without a hit votes clean.
+ENOUGH_WORDS = 12
+#: Common English insults, for voters that no label has a part in.
+INSULTS = (
+    "airhead arrogant bastard bigot bonehead brainless brat buffoon bully clown coward creep cretin crook deadbeat degenerate "
+    "delusional disgrace disgusting dope dork dumb dumbass dunce failure fool freak fraud garbage gross halfwit hideous "
+    "hypocrite idiot idiotic ignorant imbecile incompetent jackass jerk lame liar loser lowlife lunatic maniac miserable "
+    "moron moronic nasty nitwit nobody nutcase pathetic pest pig psycho punk rat repulsive retarded ridiculous rotten rubbish "
+    "scum scumbag shameful shameless sicko sleazy slob snake stupid sucker swine thug trash trashy twisted ugly useless "
+    "vermin vile weasel weirdo wimp worthless wretch"
+).split()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -66,6 +85,15 @@ class Model:
             found |= {f"{b}*" for b in {w[:n] for w in words if len(w) > n} & starts}
         return sorted(found)
 
+    def words_known(self, text: str) -> tuple[int, float]:
+        """How many different words of the text hold a known term, and the sum of their strongest ones."""
+        sums = []
+        for w in set(_WORD.findall(text.lower())):
+            own = [self.weights[t] for t in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)) if t in self.weights]
+            if own:
+                sums.append(max(own))
+        return len(sums), float(sum(sums))
+
     def _beginnings(self) -> dict[int, set[str]]:
         if "_starts" not in self.__dict__:
             self._starts: dict[int, set[str]] = {n: {t[:-1] for t in self.weights if t.endswith("*") and len(t) == n + 1} for n in PREFIXES}
@@ -76,30 +104,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posteriors, rates by class and voter, weights by voter) of a two-class model of rows x voters 0/1 votes.
+TOXIC, CLEAN, SILENT = 1, 0, -1
+
 
-    A voter's weight is 1 over one plus its positive correlations with other
-    voters within the classes, so a block of copies counts about once.
+def label_model(votes: np.ndarray, rounds: int = 50, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posteriors, rates, weights) of a two-class model of rows x voters TOXIC, CLEAN or SILENT votes.
+
+    A rate, by class and voter, is how often the votes it casts on that class are
+    toxic; a silent voter tells nothing. A voter's weight is 1 over one plus its
+    positive correlations with other voters within the classes, so a block of
+    copies counts about once. Class 1 is the one in which the estimation starts:
+    the share of toxic votes, or ``start`` where a caller trusts some voters more.
     """
-    p, rows = start.astype(float), len(votes)
-    v = votes.astype(float)
+    cast, toxic = (votes != SILENT).astype(float), (votes == TOXIC).astype(float)
+    p = np.clip(toxic.sum(1) / np.maximum(1, cast.sum(1)), 0.02, 0.98)
+    p = np.clip(p / max(p.max(initial=0), 1e-9), 0.02, 0.98)  # the row with the largest share is sure of its class
+    p = p if start is None else np.clip(start, 0.02, 0.98)
     for _ in range(rounds):
-        mass = np.array([(1 - p).sum(), p.sum()]) + 2.0
-        rate = np.stack([(v.T @ (1 - p) + 0.5), (v.T @ p + 0.5)]) / mass[:, None]
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        residual = v - ((1 - p)[:, None] * rate[0] + p[:, None] * rate[1])
-        cov = residual.T @ residual / max(1, rows)
-        scale = np.sqrt(np.diag(cov)) + 1e-9
-        corr = np.clip(cov / scale[:, None] / scale[None, :], 0, 1)
+        both = np.stack([1 - p, p])
+        rate = np.clip((both @ toxic + 0.5) / (both @ cast + 1.0), 1e-3, 1 - 1e-3)
+        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
+        residual = (toxic - both.T @ rate) * cast
+        scale = np.sqrt((residual**2).sum(0)) + 1e-9
+        corr = np.clip((residual.T @ residual) / scale[:, None] / scale[None, :], 0, 1)
         np.fill_diagonal(corr, 0)
         weight = 1 / (1 + corr.sum(1))
-        ratio = v @ (weight * np.log(rate[1] / rate[0])) + (1 - v) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
+        ratio = toxic @ (weight * np.log(rate[1] / rate[0])) + (cast - toxic) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
         new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio, -30, 30)))
-        if np.abs(new - p).max(initial=0) < 1e-4:
-            p = new
-            break
+        moved = np.abs(new - p).max(initial=0)
         p = new
+        if moved < 1e-4:
+            break
     return p, rate, weight
 
 
@@ -124,10 +159,15 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, target: np.ndarray
     return bias, w
 
 
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
 def _signature(text: str) -> int:
-    """The least hash of three words in a row: near copies mostly share it, other texts hardly ever."""
+    """Four min-hashes of three words in a row, as one hash: near copies mostly share it, texts with a common passage do not."""
     words = _WORD.findall(text.lower())
-    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+    own = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint64)
+    mixed = (own + np.uint64(1)) * _SEEDS[:, None]
+    return zlib.crc32((mixed ^ (mixed >> np.uint64(31))).min(1).tobytes()) if words else 0
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +176,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, signatures], names=[*batch.schema.names, "signature"])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """label, text of at most ``rows`` labelled rows that may be learnt from, chosen by a hash of their id.
-
-    Of near copies one stays, the smallest id: a text's words must not count as often as it was copied.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, rows: int, copies_once: bool) -> DataFrame:
+    """label, text of at most ``rows`` labelled rows that may be learnt from, chosen by a hash of their id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    if not copies_once:
+        return cut(found.select("label", "text"))
     signed = found.mapInArrow(_sign, "doc_id long, label int, text string, signature long")
-    one = signed.groupBy("signature").agg(F.min(F.struct("doc_id", "text", "label")).alias("x"))
-    return cut(one.select("x.label", "x.text"))
+    one = signed.groupBy("signature", "label").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    return cut(one.select("label", "x.text"))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +208,34 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, voters: int = 24) -> Model:
-    sample = _sample(docs, labels, sample_rows)
+def cast_votes(rows: np.ndarray, cols: np.ndarray, terms: list[str], n_words: np.ndarray, n_known: np.ndarray, strength: np.ndarray, voters: int) -> np.ndarray:
+    """Rows x voters: TOXIC, CLEAN or SILENT. rows and cols say which terms stand in which row.
+
+    Terms are dealt in turn to the voters of their kind (the fixed list, mined
+    words, beginnings of one length), so a voter holds strong and weak ones.
+    """
+    fixed = set(INSULTS)
+    kind = np.array([0 if t in fixed else 1 if not t.endswith("*") else 2 + len(t) - 1 - PREFIXES[0] for t in terms], np.int64)
+    kinds = len(PREFIXES) + 2
+    each = max(1, voters // (kinds + 1))
+    turn = np.zeros(len(terms), np.int64)
+    for k in range(kinds):
+        own = kind == k
+        turn[own] = np.arange(own.sum()) % each
+    of_term = kind * each + turn
+    hits = np.zeros((len(n_words), kinds * each), np.int64)
+    np.add.at(hits, (rows, of_term[cols]), 1)
+    long = (n_words >= ENOUGH_WORDS)[:, None]
+    by_terms = np.where(hits > 0, TOXIC, np.where(long, CLEAN, SILENT))
+    # patterns of the whole text: toxic from a number, sum or share of known words on, clean below a low one, silent between
+    share = n_known / np.maximum(1, n_words)
+    whole = [(n_known, 0, 2), (n_known, 1, 3), (strength, 4, 8), (strength, 6, 12), (share, 0.005, 0.02)]
+    by_text = [np.where(x >= high, TOXIC, np.where((x <= low) & long[:, 0], CLEAN, SILENT)) for x, low, high in whole]
+    return np.concatenate([by_terms, np.stack(by_text, 1)], 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, voters: int = 24, copies_once: bool = True) -> Model:
+    sample = _sample(docs, labels, sample_rows, copies_once)
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = size.get(1, 0), sum(c for k, c in size.items() if k != 1)
     if not n_toxic or not n_clean:
@@ -185,32 +250,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     gain = t * F.log(t / (F.col("n") * share)) + F.when(c > 0, c * F.log(c / (F.col("n") * (1 - share)))).otherwise(0.0)
     least = float(np.log(max(1, counted.count())))
     mined = counted.withColumn("lean", lean).withColumn("gain", gain).where((F.col("lean") > 2) & (F.col("gain") > least)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    if not mined:
-        return Model(bias=float(np.log(share / (1 - share))))
-    lexicon = Model(bias=0.0, weights={r["term"]: r["lean"] for r in mined})
+    lexicon = Model(bias=0.0, weights=dict.fromkeys(INSULTS, 3.0) | {r["term"]: r["lean"] for r in mined})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(lexicon.weights)}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[place[x] for x in lexicon.known(t or "")] for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "terms"])
-
-    got = sample.mapInArrow(find, "label int, terms array<int>").collect()  # at most sample_rows short lists
-    label = np.array([int(r["label"] == 1) for r in got])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = pa.array([[place[x] for x in lexicon.known(t)] for t in texts], pa.list_(pa.int32()))
+            n_words = pa.array([len(_WORD.findall(t)) for t in texts], pa.int32())
+            known = [lexicon.words_known(t) for t in texts]
+            n_known, strength = pa.array([n for n, _ in known], pa.int32()), pa.array([x for _, x in known], pa.float64())
+            yield pa.RecordBatch.from_arrays([found, n_words, n_known, strength], names=["terms", "n_words", "n_known", "strength"])
+
+    got = sample.mapInArrow(find, "terms array<int>, n_words int, n_known int, strength double").collect()  # at most sample_rows short lists
     rows = np.array([i for i, r in enumerate(got) for _ in r["terms"]], np.int64)
     cols = np.array([x for r in got for x in r["terms"]], np.int64)
-
-    # lexicon voters hold whole words, pattern voters beginnings of one length; terms of like strength share no voter by design
-    kind = np.array([0 if not x.endswith("*") else len(x) - 1 - PREFIXES[0] + 1 for x in lexicon.weights])
-    each = voters // (len(PREFIXES) + 2)
-    of_term = kind * each + np.arange(len(kind)) % each
-    votes = np.zeros((len(got), each * (len(PREFIXES) + 1) + 3), bool)
-    votes[rows, of_term[cols]] = True
-    strength = np.bincount(rows, weights=np.array(list(lexicon.weights.values()))[cols], minlength=len(got))
-    for i, least in enumerate((3, 6, 12)):  # patterns of the whole text: summed lean of what it holds
-        votes[:, each * (len(PREFIXES) + 1) + i] = strength >= least
-    start = np.where(label == 1, 0.9, 0.1)
-    posterior, _, _ = label_model(votes, share, start)
-    bias, w = logistic(rows, cols, len(kind), 0.5 * posterior + 0.5 * label)
+    votes = cast_votes(rows, cols, list(lexicon.weights), *(np.array([r[c] for r in got]) for c in ("n_words", "n_known", "strength")), voters)
+    posterior, _, _ = label_model(votes)
+    bias, w = logistic(rows, cols, len(lexicon.weights), posterior)
     return Model(bias=bias, weights=dict(zip(lexicon.weights, w.tolist(), strict=True)))
 
 
