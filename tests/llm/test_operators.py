@@ -647,5 +647,29 @@ def test_top_k(spark, query_rows, candidate_rows, fan_in):
 
 
 def test_products_beyond_floating_point():
-    q, c = np.array([[2**30, 1]]), np.array([[2**30, 1], [2**30, 0]])
+    q, c = np.array([[2.0**30, 1]]), np.array([[2.0**30, 1], [2.0**30, 0]])
     assert top_k._product(q, c).tolist() == [[2**60 + 1, 2**60]]
+    assert top_k._product(np.array([[2.0**70, 1, -3.0]]), np.array([[2.0**70, 1, 2.0]])).tolist() == [[2**140 - 5]]
+    assert top_k.quantized(np.array([[1e307, -0.001]]), 256).tolist() == [[int(1e307) * 256, -1]]
+
+
+def test_all_finite_components_take_part(spark):
+    """Large components, with scores beyond 64 bits among those that are not in the result."""
+    rows = [(0, [1e15, 0.0]), (1, [3e7, 4e7]), (2, [-1e30, 1.0]), (3, [0.0, 1e300]), (4, [1.0, 1.0]), (5, [-5.0, 2.0]), (6, [2e2, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fits = lambda s: -(2**63) <= s < 2**63
+    whole = {i: [math.floor(x) * 256 if abs(x) > 2**60 else math.floor(256 * x) for x in v] for i, v in rows}
+    for q, k in ((5, 2), (4, 1), (0, 2), (6, 3)):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:k]
+        search = top_k.exact_top_k(df.where(F.col("vec_id") == q), df, k=k, candidate_rows=2)
+        if all(fits(-s) for s, _ in best):
+            assert [tuple(r) for r in search.orderBy("rank").collect()] == [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        else:
+            with pytest.raises(Exception, match="does not fit 64 bits"):
+                search.collect()
+
+
+def test_copies_of_one_vector_are_dealt_out(spark):
+    df = spark.createDataFrame([(1, [1.0, 1.0])] * 500 + [(2, [1.0, 0.5]), (3, [2.0, 2.0])], "vec_id long, embedding array<float>")
+    got = top_k.exact_top_k(df.where("vec_id = 2"), df, k=4, candidate_rows=50).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 512 * 256 + 512 * 128)] + [(1, 256 * 256 + 256 * 128)] * 3
