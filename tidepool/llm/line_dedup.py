@@ -3,18 +3,23 @@
 Each line gets a 128-bit hash of its key. The hashes are range-partitioned and
 sorted within their range by document and position, so that the first document
 of a key streams by before its later ones; lines of later documents are dropped.
-What comes back is one keep bitmap per document (64 lines a word), never text.
+What comes back is one compressed keep bitmap per document, never text: a word
+of bits for each 64 lines of which any is dropped, a set bit for a line that
+stays; words without drops are left out.
 
-Skew: a first, map-side combined count over hash buckets finds the buckets that
-hold too many lines to be one range. Only their lines take another way: the
-smallest document of each key is a map-side combined minimum, joined back in a
-join whose large partitions Spark splits.
+Skew: a key is hot if it has over ``hot_lines`` lines and over a millionth of all
+lines, so there are at most a million hot keys at any size, and no range stream
+holds more of one key. A map-side combined count over hash buckets finds the
+buckets that can hold a hot key, and an exact count in these finds the keys. The
+smallest document of each hot key is a map-side combined minimum; the hot keys
+are broadcast, and their lines are judged where they are, without a shuffle.
 
 Defined results: a null or empty text is one empty line. Lines whose key is
 shorter than ``min_chars`` code points always stay. Rows that repeat a doc_id
 share its lines' fate: a line is dropped if its key occurs in a smaller doc_id.
 A row without doc_id loses nothing and counts as no holder. Equal rows are
-decided alike and all stay. Extra columns pass through.
+decided alike and all stay. Extra columns pass through ``dedup_lines`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import cut, lower_ascii, row_key, text_or_empty
 
-#: Hash buckets in which lines are counted before they are dealt out.
+#: Hot keys are at most so many, and buckets about four times as many.
+MOST_HOT = 1_000_000
+#: Hash buckets at least, in which lines are counted before they are dealt out.
 BUCKETS = 1 << 16
 WORD = 64
 
@@ -45,47 +52,49 @@ def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, hot_lines: int = 1_000) -> DataFrame:
-    """doc_id, row_key, n_lines, n_dropped, dropped: array<long>, bit i of word w is line 64 w + i.
+    """doc_id, row_key, n_lines, n_dropped, keep: array<struct<word, bits>>, bit i of word w is set if line 64 w + i stays.
 
-    A bucket is hot if it holds over ``hot_lines`` lines and over four times the mean.
+    Words of 64 lines that all stay are left out. ``hot_lines`` is the least number of lines of a hot key.
     """
     docs = docs.select("doc_id", "text")
-    lines = cut(_keyed_lines(docs, min_chars).withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)).cast("int")))
-    counts = lines.groupBy("bucket").agg(F.count("*").alias("n"))  # at most BUCKETS rows, and so is the list below
-    mean = lines.count() / BUCKETS
-    hot = [r["bucket"] for r in counts.where(F.col("n") > max(hot_lines, 4 * mean)).select("bucket").collect()]
-    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
-
-    cold = lines.where(~is_hot).repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    lines = cut(_keyed_lines(docs, min_chars))
+    least = max(hot_lines, lines.count() // MOST_HOT)
+    bucket = F.pmod("h1", F.lit(max(BUCKETS, 4 * MOST_HOT if least > hot_lines else 0)))
+    full = lines.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("bucket")
+    maybe = lines.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    found = maybe.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") > least)
+    hot = F.broadcast(cut(found.select("h1", "h2", "first_doc")))  # at most MOST_HOT rows, as each has over a millionth of the lines
+
+    cold = lines.join(hot, ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     stream = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dropped = cold.withColumn("first_doc", F.first("doc_id").over(stream)).where("doc_id > first_doc").select("doc_id", "row_key", "pos")
-    if hot:
-        firsts = lines.where(is_hot).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-        dropped = dropped.unionByName(lines.where(is_hot).join(firsts, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "row_key", "pos"))
-
-    n_lines = F.size(lines_of(text_or_empty()))
-    blank = docs.select("doc_id", row_key().alias("row_key"), n_lines.alias("n_lines")).select("doc_id", "row_key", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_lines") - 1) / WORD).cast("int"))).alias("word"), F.lit(0).cast("long").alias("bits"), "n_lines")
-    set_bits = dropped.select("doc_id", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, pos % {WORD})").alias("bits"), F.lit(None).cast("int").alias("n_lines"))
-    words = blank.unionByName(set_bits).groupBy("doc_id", "row_key", "word").agg(F.bit_or("bits").alias("bits"), F.max("n_lines").alias("n_lines"))
-    return (
-        words.groupBy("doc_id", "row_key")
-        .agg(F.max("n_lines").alias("n_lines"), F.sum(F.bit_count("bits")).alias("n_dropped"), F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
-        .select("doc_id", "row_key", "n_lines", "n_dropped", F.col("words.bits").alias("dropped"))
-    )
+    later = F.col("doc_id") > F.col("first_doc")
+    dropped = cold.withColumn("first_doc", F.first("doc_id").over(stream)).where(later).select("doc_id", "row_key", "pos")
+    dropped = dropped.unionByName(lines.join(hot, ["h1", "h2"]).where(later).select("doc_id", "row_key", "pos"))
+
+    # a word's dropped bits first, turned over once the document's last, shorter word is known
+    gone = dropped.groupBy("doc_id", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD})")).alias("bits"))
+    none = F.lit(None)
+    sizes = docs.select("doc_id", row_key().alias("row_key"), F.size(lines_of(text_or_empty())).alias("n_lines"), none.cast("struct<word:int,bits:bigint>").alias("gone"))
+    words = sizes.unionByName(gone.select("doc_id", "row_key", none.cast("int").alias("n_lines"), F.struct("word", "bits").alias("gone")))
+    per = words.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("gone")).alias("gone"))
+    # a word of n lines has n bits to keep; 64 of them are all bits of a long
+    left = f"n_lines - x.word * {WORD}"
+    keep = F.expr(f"transform(gone, x -> struct(x.word AS word, (CASE WHEN {left} >= {WORD} THEN -1L ELSE shiftleft(1L, {left}) - 1L END) & ~x.bits AS bits))")
+    n_dropped = F.aggregate("gone", F.lit(0), lambda n, x: n + F.bit_count(x["bits"]))
+    return per.select("doc_id", "row_key", "n_lines", n_dropped.alias("n_dropped"), keep.alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with column kept_text, n_lines and n_dropped; rows keep their other columns."""
-    d = docs.withColumn("__row_key", row_key()).alias("d")
-    b = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("n_lines").alias("__n"), F.col("n_dropped").alias("__gone"), F.col("dropped").alias("__bits"))
-    joined = d.join(b.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row_key") == F.col("__key")), "left")
-    kept = F.expr(f"array_join(filter(split(coalesce(text, ''), '\\n', -1), (line, i) -> (shiftright(__bits[cast(i div {WORD} as int)], i % {WORD}) & 1L) = 0L), '\\n')")
-    whole = joined.withColumn("__kept", F.when(F.col("__gone") > 0, kept).otherwise(text_or_empty()))
-    return whole.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("__kept").alias("kept_text"), F.col("__n").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_dropped"))
+    """row (a struct of the document's columns), kept_text, n_lines, n_dropped."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), row_key().alias("key"))
+    b = bitmaps.select("doc_id", "row_key", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.when(F.col("n_dropped") > 0, F.map_from_entries("keep")).alias("keep"))
+    joined = own.join(b.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")), "left")
+    kept = F.expr(f"array_join(filter(split(coalesce(row.text, ''), '\n', -1), (line, i) -> (shiftright(coalesce(keep[cast(i div {WORD} as int)], -1L), i % {WORD}) & 1L) = 1L), '\n')")
+    return joined.select("row", F.when(F.col("n_dropped") > 0, kept).otherwise(text_or_empty("row.text")).alias("kept_text"), "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """The columns of docs, with the text that is left; a null text without drops stays null."""
-    own = docs.drop("kept_text", "n_lines", "n_dropped")
-    out = apply_bitmaps(own, keep_bitmaps(own, min_chars))
-    return out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*own.columns)
+    out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text")).alias("text")
+    return out.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ def _sha(col: str):
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return kept.select("doc_id", "n_lines", "n_dropped", _sha("kept_text").alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", _sha("kept_text").alias("kept_sha256"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
