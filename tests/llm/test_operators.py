@@ -33,7 +33,7 @@ def awkward(spark):
     shared = "a line that several documents share with each other and then some more of it"
     rows = [(1, None, "en", "s"), (2, "", None, None), (3, " \t\n\n ", "en", "s"), (4, long, "en", "s"), (5, shared, "en", "s"), (5, shared, "en", "s"), (5, f"{shared}\nother", "de", "t"), (6, f"x\n{shared}\n{shared}", "en", "s"), (None, shared, "en", "s"), (7, long, "fr", "u"), (8, "password = hunter22!", "en", "s")]
     df = spark.createDataFrame([(*r, 0) for r in rows], DOCS)
-    for extra in ("key", "row_key", "start", "end", "n_dropped", "score", "fp", "component_id", "node", "h1", "words", "spans", "kept_text", "value"):
+    for extra in ("key", "row_key", "start", "end", "n_dropped", "score", "fp", "component_id", "node", "h1", "words", "spans", "kept_text", "value", "n_lines", "__id", "__key", "__doc", "__bad", "__row_key", "id", "row", "keep", "label", "bad_doc", "_bad_doc", "__score"):
         df = df.withColumn(extra, F.lit("clash"))
     return df
 
@@ -62,27 +62,37 @@ def line_model(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [1, 1_000_000])
+@pytest.mark.parametrize("hot", [0, 3, 1_000_000])
 def test_lines(spark, hot):
     random.seed(hot)
     pool = ["", "short", "A line of ten", "a LINE of ten ", "\x0banother long line", "éÉ long enough line", "unique"] + [f"common line {i}" for i in range(5)]
     texts = ["\n".join(random.choice(pool) for _ in range(random.choice([0, 1, 3, 200]))) for _ in range(60)]
     df = docs_of(spark, texts)
-    got = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, hot_lines=hot if hot > 1 else 0)).select("doc_id", "kept_text", "n_lines", "n_dropped")
+    got = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, hot_lines=hot)).select("row.doc_id", "kept_text", "n_lines", "n_dropped")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == line_model([(i, t) for i, t in enumerate(texts, 1)])
 
 
 def test_lines_awkward(spark):
     df = awkward(spark)
     out = line_dedup.dedup_lines(df)
-    assert out.columns == [c for c in df.columns if c not in ("kept_text", "n_dropped")]
+    assert out.columns == df.columns and {r["n_lines"] for r in out.collect()} == {"clash"}
     want = line_model([(r["doc_id"], r["text"]) for r in df.collect()])
     plain = df.select("doc_id", "text")
-    got = line_dedup.apply_bitmaps(plain, line_dedup.keep_bitmaps(plain)).select("doc_id", "kept_text", "n_lines", "n_dropped")
+    got = line_dedup.apply_bitmaps(plain, line_dedup.keep_bitmaps(plain)).select("row.doc_id", "kept_text", "n_lines", "n_dropped")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_keep_bitmaps_are_sparse(spark):
+    first = "\n".join(f"line number {i} of many" for i in range(200))
+    texts = [first, "\n".join([f"own line {i} of this text" for i in range(130)] + ["line number 7 of many"]), "line number 5 of many\nline number 6 of many", "no such line here"]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], [tuple(x) for x in r["keep"]]) for r in line_dedup.keep_bitmaps(docs_of(spark, texts)).collect()}
+    assert got == {1: (200, 0, []), 2: (131, 1, [(2, 3)]), 3: (2, 2, [(0, 0)]), 4: (1, 0, [])}
+    many = docs_of(spark, [first, "a first line of its own\n" + "\n".join(first.split("\n")[:100])])
+    bits = {r["doc_id"]: [tuple(x) for x in r["keep"]] for r in line_dedup.keep_bitmaps(many).collect()}
+    assert bits[2] == [(0, 1), (1, 0)]
+
+
 # decontamination
 
 
@@ -126,6 +136,7 @@ def test_decontaminate_awkward(spark):
     assert {(r["doc_id"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found.collect() if r["n_hit"]} == {(4, 620, (5,), False), (7, 620, (5,), False), (8, 2, (4,), True)}
     assert found.count() == df.count()
     kept = decontaminate.decontaminate(df, bench)
+    assert {r["__key"] for r in kept.collect()} == {"clash"}
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == df.count()
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
@@ -413,7 +424,7 @@ def test_near_awkward(spark):
     assert got.count() == df.count()
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (7, 4), (None, 5), (5, 5)} <= groups
     kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r["__id"] for r in kept.collect()} == {"clash"}
     assert kept.where("doc_id in (1, 4, 8)").count() == 3 and kept.where("doc_id in (2, 3, 7)").count() == 0
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
@@ -452,10 +463,10 @@ def test_pipeline_near_copies_by_brute_force(spark, sf):
 
 
 def test_pairs_across_components(monkeypatch, spark, sf):
-    """With no star rounds at all, the comparison across components finds the same."""
+    """With no turns at all, the comparison across components finds the same."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = rows_of(shingles.keep_one(docs).select("doc_id"))
-    monkeypatch.setattr(shingles, "ORDERS", 0)
+    monkeypatch.setattr(shingles, "TURNS", 0)
     assert rows_of(shingles.keep_one(docs).select("doc_id")) == got
 
 
@@ -469,6 +480,13 @@ def test_shingles_awkward(spark):
     assert shingles.keep_one(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_id_and_text_keep_a_defined_one(spark):
+    df = spark.createDataFrame([(1, "the same text", x) for x in ("c", "a", "b")] + [(2, "other words altogether", None)], "doc_id long, text string, extra string")
+    for keep in (simhash.keep_one, shingles.keep_one):
+        for parts in (1, 3):
+            assert sorted((r["doc_id"], r["extra"]) for r in keep(df.repartition(parts)).collect()) == [(1, "a"), (2, None)]
+
+
 # chat
 
 

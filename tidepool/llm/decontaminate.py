@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import cut, row_key
+from tidepool.llm.common import cut, row_key, unused
 
 WINDOW = 13
 SAMPLE = 32
@@ -282,6 +282,6 @@ def judge(found: DataFrame, share: int = 20) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, whole."""
-    bad = judge(find_contamination(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__bad")).dropDuplicates()
-    own = docs.withColumn("__key", row_key())
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["__doc"]) & (own["__key"] == bad["__bad"]), "left_anti").select(*docs.columns)
+    doc, key = (unused(docs.columns, c) for c in ("bad_doc", "bad_key"))
+    bad = judge(find_contamination(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).dropDuplicates()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[doc]) & (row_key() == bad[key]), "left_anti")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import cut, row_key
@@ -238,12 +238,21 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return own.join(of_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
+def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs that ``first`` (doc_id, row_key) names; of rows that repeat both, the least by its other columns as JSON."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # a null id gets a name of its own, so plain keys serve both the join and what follows it
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    own = docs.select(row, name(F.col("doc_id")).alias("id"), row_key().alias("key"))
+    kept = own.join(first.select(name(F.col("doc_id")).alias("id"), F.col("row_key").alias("key")).dropDuplicates(), ["id", "key"], "left_semi")
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
+    rank = F.row_number().over(Window.partitionBy("id", "key").orderBy(others, F.col("row.text")))
+    one = kept.withColumn("rank", rank).where("rank = 1")
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """One document of each component stays: its smallest doc_id. Of rows that repeat that doc_id, one stays."""
-    # a null id gets a name of its own, so plain keys serve both the join and what follows it
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    own = docs.withColumn("__id", name).withColumn("__key", row_key())
     near = near_duplicates(docs, words)
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x")).select("x.doc_id", F.col("x.row_key").alias("__key"))
-    kept = own.join(first.select(name.alias("__id"), "__key"), ["__id", "__key"], "left_semi")
-    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x"))
+    return keep_rows(docs, first.select("x.doc_id", "x.row_key"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import cut
+from tidepool.llm.common import cut, unused
 
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 4_000
@@ -271,23 +271,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     return Model(bias=bias, weights=dict(zip(lexicon.weights, w.tolist(), strict=True)))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs, or those in ``keep``, and score, a double from 0 to 1."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of docs, or those in ``keep``, and the score, a double from 0 to 1, as ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.drop("score")
-    keep = own.columns if keep is None else keep
-    own = own.select(*keep, *({"text"} - set(keep)))
+    keep = docs.columns if keep is None else keep
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], *({"text"} - set(keep)))
     at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             scores = pa.array([m.score(t or "") for i in range(0, batch.num_rows, 512) for t in batch.column(at).slice(i, 512).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, name])
 
     from pyspark.sql import types as T
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[: len(keep)], T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -298,7 +297,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, whole."""
-    if "score" in docs.columns:
-        docs = docs.withColumnRenamed("score", "__score")
-    kept = score(docs, fit(docs, labels)).where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("__score", "score")
+    name = unused(docs.columns, "score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) < threshold).drop(name)
