@@ -79,7 +79,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, hot_lines: int = 1_000) -
     per = words.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("gone")).alias("gone"))
     # a word of n lines has n bits to keep; 64 of them are all bits of a long
     left = f"n_lines - x.word * {WORD}"
-    keep = F.expr(f"transform(gone, x -> struct(x.word AS word, (CASE WHEN {left} >= {WORD} THEN -1L ELSE shiftleft(1L, {left}) - 1L END) & ~x.bits AS bits))")
+    keep = F.expr(f"transform(gone, x -> struct(x.word AS word, (CASE WHEN {left} >= {WORD} THEN -1L ELSE shiftrightunsigned(-1L, {WORD} - ({left})) END) & ~x.bits AS bits))")
     n_dropped = F.aggregate("gone", F.lit(0), lambda n, x: n + F.bit_count(x["bits"]))
     return per.select("doc_id", "row_key", "n_lines", n_dropped.alias("n_dropped"), keep.alias("keep"))
 
