@@ -91,6 +91,10 @@ def test_keep_bitmaps_are_sparse(spark):
     many = docs_of(spark, [first, "a first line of its own\n" + "\n".join(first.split("\n")[:100])])
     bits = {r["doc_id"]: [tuple(x) for x in r["keep"]] for r in line_dedup.keep_bitmaps(many).collect()}
     assert bits[2] == [(0, 1), (1, 0)]
+    for n in (1, 63, 64, 65, 127):  # a last word of any length
+        lines = [f"a line number {i} here" for i in range(n)]
+        out = line_dedup.keep_bitmaps(docs_of(spark, [lines[-1], "\n".join(lines)])).where("doc_id = 2").first()
+        assert (out["n_lines"], out["n_dropped"]) == (n, 1) and [tuple(x) for x in out["keep"]] == [((n - 1) // 64, (1 << (n - 1) % 64) - 1 if n % 64 else 2**63 - 1)]
 
 
 # decontamination
@@ -248,6 +252,37 @@ def test_base_secrets(spark):
     assert got == {i: sha(secret_model(t)) for i, t in enumerate(texts, 1)}
 
 
+def test_all_spans_by_brute_force(spark):
+    """Every kind, whether a value looks random, and how many owners and repositories hold it."""
+    token, pem = r"(?:gh[opsu]|xox[abprs]|[spr]k)[_-][A-Za-z0-9_-]{16,}", "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rng = random.Random(9)
+    values = [f"{rng.choice(['ghp_', 'sk-', 'xoxb-'])}{''.join(rng.choice('aB3dE5gH7') for _ in range(20))}" for _ in range(5)] + ["password=Zx81kLq0", "secret: changeme12", "AKIA" + "Q7Z1" * 4, "0a1b2c3d" * 3, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "sk_" + "a" * 20]
+    rows = []
+    for i in range(1, 91):
+        own = rng.sample(values[:3] + values[5:], rng.randrange(0, 3)) if i > 30 else [values[3]]  # one value in 30 documents of one owner
+        rows.append((i, " ".join(own + (["é", values[4]] if i in (60, 61) else [])), "en", "s0" if i <= 30 else f"s{rng.randrange(1, 4)}", 0))
+
+    def random_looking(v):
+        return len(v) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not re.search(r"(?i)example|changeme|placeholder|dummy|your|xxxx|\*\*\*|1234567|abcdef", v) and len(set(v)) >= 6
+
+    found, owners, repos = defaultdict(list), defaultdict(set), defaultdict(set)
+    for d, t, _, o, _ in rows:
+        for k, pattern in enumerate((secrets.PATTERNS["assign"], r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", token, pem)):
+            for m in re.finditer(pattern, t, re.ASCII):
+                v = m[2] if k == 0 else m[0]
+                if k or len(v) >= 6:
+                    found[d].append((m.start(), k, m.end(), v))
+                    owners[v].add(o)
+                    repos[v].add(d)
+    want = {}
+    for d, *_ in rows:
+        live = [bool((k == 4 or random_looking(v)) and len(owners[v]) <= 2 and len(repos[v]) <= 20) for _, k, _, v in found[d]]
+        spans = sorted((s, k, e) for (s, k, e, _), x in zip(found[d], live, strict=True) if k < 3 or x)
+        want[d] = (sum(live), sum(k < 3 for _, k, _, _ in found[d]) - sum(x for (_, k, _, _), x in zip(found[d], live, strict=True) if k < 3), ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans))
+    got = {r["doc_id"]: (r["n_live"], r["n_shared"], r["spans"]) for r in secrets.secrets_by_document(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and got[60][0] and not got[1][0]
+
+
 def test_ownership(spark):
     live, copied = "q7Zp2Lk9Xw4T", "c0piedEverywh3re"
     rows = [(1, f"password={live}", "a"), (2, f"password={live}", "a")] + [(i, f"password={copied}", f"o{i}") for i in range(3, 9)] + [(9, "ghp_" + "aB3" * 8 + " password=changeme123", "b")]
@@ -255,8 +290,10 @@ def test_ownership(spark):
     got = {r["doc_id"]: (r["n_live"], r["n_shared"], r["spans"]) for r in secrets.secrets_by_document(df).collect()}
     assert got[1][:2] == (1, 0) and got[3][:2] == (0, 1)
     assert got[9] == (1, 1, "token:0:28,assign:29:49")
+    assert {r["n_live"] for r in secrets.secrets_by_document(df, max_repos=1).where("doc_id < 3").collect()} == {0}
     spans = secrets.scan_secrets(df)
-    assert {(r["n_owners"], r["n_repos"]) for r in spans.where(F.col("value") == copied).collect()} == {(6, 6)}
+    assert {(r["n_owners"], r["n_repos"]) for r in spans.where(F.col("value") == sha(copied)).collect()} == {(6, 6)}
+    assert not any(x in str(r) for r in spans.collect() for x in (live, copied))  # hashes alone go on
 
 
 def test_secrets_awkward(spark):

@@ -52,8 +52,8 @@ found AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({kinds}) WHERE le
 placed AS (SELECT doc_id, owner, kind, name, hits[i] AS hit, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM found),
 cand AS (SELECT *, CASE WHEN kind = 0 THEN {group2} ELSE hit END AS v, a + length(hit) AS b FROM placed),
 ok AS (SELECT * FROM cand WHERE kind <> 0 OR length(v) >= 6),
-owned AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS n_owners FROM ok GROUP BY v),
-judged AS (SELECT *, n_owners <= 2 AND (kind = {KINDS.index("pem")} OR (length(v) >= 8 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{quote(PLACEHOLDER)}')
+owned AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS n_owners, count(DISTINCT doc_id) AS n_repos FROM ok GROUP BY v),
+judged AS (SELECT *, n_owners <= 2 AND n_repos <= 20 AND (kind = {KINDS.index("pem")} OR (length(v) >= 8 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{quote(PLACEHOLDER)}')
   AND len(list_distinct(string_split(v, ''))) >= 6)) AS live FROM ok JOIN owned USING (v)),
 listed AS (SELECT *, name || ':' || a || ':' || b AS span FROM judged WHERE kind < {BASE} OR live),
 per AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS[:BASE]))}, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared,

@@ -1,18 +1,23 @@
 """Secret scans with corpus-wide ownership, by DataFrame functions alone.
 
-Each kind of candidate is found in one regex pass. A match's place is the sum of
-the gaps and matches before it, so the text itself never leaves the scan: only
-the matches do. Candidate values are hashed and counted corpus-wide by distinct
-owners and repositories. A value that many owners hold is a copied example; one
-that few owners hold and that looks random is taken for a live credential.
-
-Skew: owners of a value are counted from map-side combined distinct (value,
+A kind of candidate takes two regex passes: one for its matches, one for the gaps
+between them. A match's place is the sum of the gaps and matches before it, so
+the text itself never leaves the scan. Nor do the values: what goes on is a
+candidate's SHA-256, its place and whether it looks random.
+
+Hashes are counted corpus-wide by distinct owners and repositories. A value that
+over ``max_owners`` owners hold, or over ``max_repos`` repositories of any owner,
+is a copied example; one that is rarer and looks random is taken for a live
+credential. An owner is the ``owner_col`` of a document, a repository is a
+document of it.
+
+Skew: owners of a value are counted from map-side combined distinct (hash,
 owner, repository) rows, so a value found in a third of all documents is spread
 by owner and repository first.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text are
-scanned alike. A null owner is an owner of its own. Places are code points, end
-exclusive. Extra columns are ignored.
+scanned alike and are one repository. A null owner is an owner of its own.
+Places are code points, end exclusive. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,47 +51,48 @@ def _entries(kind: str, hits: Column, text: Column) -> Column:
     return F.when(F.size(hits) > 0, F.filter(rows, lambda x: x["hit"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string>>"))
 
 
+def looks_live(value: Column) -> Column:
+    """At least 8 characters, 6 of them different, a digit and a letter, and no placeholder."""
+    return (F.char_length(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(value, ""))) >= 6)
+
+
 def candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
-    """doc_id, row_key, owner, kind, start, end, value: one row a match, failing ones left out."""
+    """doc_id, row_key, owner, kind, start, end, value (its SHA-256), random: one row a match, failing ones left out."""
     owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
     text = text_or_empty()
     found = docs.select("doc_id", "text", owner.alias("owner")).select("doc_id", "owner", text.alias("text"), row_key().alias("row_key"), *[_hits(k, text).alias(f"hits_{k}") for k in KINDS])
     rows = found.select("doc_id", "row_key", "owner", F.explode(F.concat(*[_entries(k, F.col(f"hits_{k}"), F.col("text")) for k in KINDS])).alias("x")).select("doc_id", "row_key", "owner", "x.*")
+    rows = rows.withColumn("value", F.when(F.col("kind") == 0, F.regexp_extract("hit", PATTERNS["assign"], 2)).otherwise(F.col("hit")))
+    random = looks_live(F.col("value")) | (F.col("kind") == KINDS.index("pem"))
+    fails = (F.col("kind") == 0) & (F.char_length("value") < 6)
+    # from here on a value is its hash
+    rows = rows.select("doc_id", "row_key", "owner", "kind", "i", "gap", F.char_length("hit").alias("size"), fails.alias("fails"), random.alias("random"), F.sha2("value", 256).alias("value"))
     rows = cut(rows.dropDuplicates())
     before = Window.partitionBy("doc_id", "row_key", "owner", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.char_length("hit")
-    placed = rows.withColumn("end", F.sum(F.col("gap") + size).over(before).cast("long")).withColumn("start", F.col("end") - size)
-    value = F.when(F.col("kind") == 0, F.regexp_extract("hit", PATTERNS["assign"], 2)).otherwise(F.col("hit"))
-    placed = placed.withColumn("value", value)
-    return placed.where((F.col("kind") != 0) | (F.char_length("value") >= 6)).select("doc_id", "row_key", "owner", "kind", "start", "end", "value")
-
-
-def looks_live(value: Column) -> Column:
-    """At least 8 characters, 6 of them different, a digit and a letter, and no placeholder."""
-    return (F.char_length(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(value, ""))) >= 6)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("long")).withColumn("start", F.col("end") - F.col("size"))
+    return placed.where(~F.col("fails")).select("doc_id", "row_key", "owner", "kind", "start", "end", "value", "random")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_owners, n_repos: in how many sources and documents a value stands."""
+    """value (its hash), n_owners, n_repos: in how many sources and documents a value stands."""
     each = found.groupBy("value", F.coalesce("owner", F.lit("")).alias("owner"), "doc_id", "row_key").agg(F.lit(1).alias("one"))
     by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def scan_secrets(docs: DataFrame, owner_col: str = "source", max_owners: int = 2) -> DataFrame:
-    """doc_id, row_key, owner, kind, start, end, value, n_owners, n_repos, live: one row a span."""
+def scan_secrets(docs: DataFrame, owner_col: str = "source", max_owners: int = 2, max_repos: int = 20) -> DataFrame:
+    """doc_id, row_key, owner, kind, start, end, value (its SHA-256), random, n_owners, n_repos, live: one row a span."""
     found = candidates(docs, owner_col)
-    counts = ownership(found)
-    joined = found.join(counts, "value")
-    return joined.withColumn("live", (F.col("n_owners") <= max_owners) & (looks_live(F.col("value")) | (F.col("kind") == KINDS.index("pem"))))
+    joined = found.join(ownership(found), "value")
+    return joined.withColumn("live", F.col("random") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
 
-def secrets_by_document(docs: DataFrame, owner_col: str = "source", max_owners: int = 2) -> DataFrame:
+def secrets_by_document(docs: DataFrame, owner_col: str = "source", max_owners: int = 2, max_repos: int = 20) -> DataFrame:
     """One row a document: counts and digests of the base kinds, all spans, and how many are live or shared.
 
     Spans beyond the base kinds are listed where they are live.
     """
-    spans = scan_secrets(docs, owner_col, max_owners).where((F.col("kind") < BASE) | F.col("live"))
+    spans = scan_secrets(docs, owner_col, max_owners, max_repos).where((F.col("kind") < BASE) | F.col("live"))
     spans = spans.drop("owner").dropDuplicates(["doc_id", "row_key", "kind", "start"])
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     item = F.struct("start", "kind", F.concat_ws(":", name, F.col("start"), F.col("end")).alias("span"))
