@@ -1,5 +1,9 @@
 """Each registered query against its SQL twin, and the driver's contract."""
 
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 
 from tests.conftest import rows_of, rows_of_sql
@@ -51,3 +55,157 @@ def test_partitions_do_not_change_results(spark, sf):
             assert rows_of(QUERIES[name](spark, sf)) == wide
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def bm25_model(docs, tokens):
+    """doc -> score, for docs: key -> tokens, from the formula."""
+    n, avg = len(docs), sum(map(len, docs.values())) / max(1, len(docs))
+    df = Counter(t for d in docs.values() for t in set(d))
+    idf = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    mean = sum(idf.values()) / max(1, len(idf))
+    out = defaultdict(float)
+    for key, d in docs.items():
+        tf = Counter(d)
+        for t in tokens:
+            if t in tf:
+                out[key] += (idf[t] if idf[t] >= 0 else 0.25 * mean) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / avg))
+    return dict(out)
+
+
+def fused_model(rows, tokens, vector, k):
+    """Keys of rows (key -> tokens, embedding, raw_md5) in fused order; equal texts are one, by their last row."""
+    top = lambda scores: [d for d, _ in sorted(((d, round(x, 6)) for d, x in scores.items()), key=lambda x: (-x[1], x[0]))[:k]]
+    lists = [top(bm25_model({d: r["tokens"] for d, r in rows.items()}, tokens)), top({d: float(np.dot(np.array(r["embedding"], float), np.array(vector, float))) for d, r in rows.items()})]
+    score, best, last = defaultdict(float), {}, {}
+    for keys in lists:
+        for rank, d in enumerate(keys, 1):
+            h = rows[d]["raw_md5"]
+            score[h] += 0.5 / (60 + rank)
+            best[h] = min(best.get(h, rank), rank)
+            last[h] = d
+    return [last[h] for h in sorted(score, key=lambda h: (-round(score[h], 9), best[h], h))]
+
+
+def three_stage_model(small, medium, questions):
+    """(query, file place, file, medium chunk, rank) by plain loops; the first two rows are picked."""
+    from tidepool.functions.intervals import centres
+
+    out = []
+    for q in questions:
+        first = fused_model(small, q["tokens"], q["embedding"], 3)[:2]
+        files = {small[d]["source_md5"]: d for d in first}  # a file's last row counts
+        for place, (md5, d) in enumerate(files.items(), 1):
+            inside = {x: r for x, r in small.items() if r["source_md5"] == md5}
+            hits = [d] + fused_model(inside, q["tokens"], q["embedding"], 3)
+            middle = centres([(small[x]["win_lo"], small[x]["win_hi"]) for x in hits])[:2]
+            there = {x: r for x, r in medium.items() if r["source_md5"] == md5 and any(r["win_lo"] <= c <= r["win_hi"] for c in middle)}
+            k = max(1, math.floor(1200 / 300 / len(files) / q["num_query"]))
+            for rank, x in enumerate(fused_model(there, q["tokens"], q["embedding"], k)[:k], 1):
+                out.append((q["query_id"], place, small[d]["file_name"], medium[x]["medium_chunk_idx"], medium[x]["raw_md5"], rank))
+    return sorted(out)
+
+
+def test_three_stage_by_brute_force(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidepool.functions.text import clean_tokens
+    from tidepool.plans.ingest import embedded_chunks
+    from tidepool.plans.queries import _pages
+    from tidepool.providers import get_embedding
+
+    small, medium = ({f"{r['source_md5']}#{r[f'{name}_chunk_idx']}": r for r in rows.collect()} for name, rows in zip(("small", "medium"), embedded_chunks(_pages(spark, sf)), strict=True))
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    asked = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("num_query"), clean_tokens(F.col("text")).alias("tokens"), get_embedding("hashing")(F.col("text")).alias("embedding")).collect()
+    got = QUERIES["three_stage"](spark, sf).collect()
+    want = three_stage_model(small, medium, asked)
+    assert sorted((r["query_id"], r["source_pos"], r["file_name"], r["medium_chunk_idx"], r["raw_md5"], r["rank"]) for r in got) == want and want
+
+
+def test_mmr_by_brute_force(spark, sf):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    want = []
+    for q in (i for i in rows if i % 100 == 0):
+        near = sorted(((-round(float(rows[q] @ v), 6), i) for i, v in rows.items()))[:20]
+        left, picks = [(i, -s) for s, i in near], []
+        while left and len(picks) < 5:
+            value = [0.5 * s - (0.5 * max(float(rows[i] @ rows[p]) for p, _ in picks) if picks else 0) for i, s in left]
+            best = max(range(len(left)), key=lambda n: (round(value[n], 9), -n))
+            picks.append((left.pop(best)[0], value[best]))
+        want += [(q, n, i, round(s, 6)) for n, (i, s) in enumerate(picks, 1)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in QUERIES["mmr"](spark, sf).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=2e-6)
+
+
+def centres_model(intervals):
+    """By the rules; of equal intervals the one that stands first leaves first."""
+    rest, out = list(intervals), []
+    middle = lambda x: -(-(x[0] + x[1]) // 2)
+    while rest:
+        x, inside = [rest[0]], None
+        rest = rest[1:]
+        for i in list(rest):
+            for g in x:
+                if max(g[0], i[0]) <= min(g[1], i[1]):
+                    inside = i if g[0] <= i[0] and i[1] <= g[1] else inside
+                    x.append(i)
+                    rest.remove(i)
+                    break
+        if inside is not None:
+            out.append(middle(inside))
+        elif len(x) > 2:
+            begin, end = min(x[0][1], x[1][1]), max(x[-1][0], x[-2][0])
+            end = end if end <= min(x[-1][1], x[-2][1]) else begin
+            out += sorted(range(min(begin, end), max(begin, end) + 1), reverse=begin > end)
+        else:
+            out.append(round(sum(map(middle, x)) / len(x)))
+    return out
+
+
+def test_interval_centroids_by_brute_force(spark, sf):
+    import hashlib
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = (r["text"] or "").split()
+        texts = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+        lo, hi, held, window = {}, {}, [], 0
+        for i in range(len(texts)):  # windows as they slide: at most 18 chunks are held, three leave at once
+            if i and i % 3 == 0 and i + 18 < len(texts):
+                window += 1
+            held.append((i, window))
+            if len(held) > 18:
+                held = held[3:]
+            lo[i], hi[i] = held[0][1], window
+        order = sorted(range(len(texts)), key=lambda i: (hashlib.md5(texts[i].encode()).hexdigest(), i))
+        for n in range(0, len(order), 7):
+            want[f"/docs/{r['source']}/{r['doc_id']}.txt", n // 7] = ",".join(map(str, centres_model([(lo[i], hi[i]) for i in order[n : n + 7]])))
+    got = {(r["source"], r["set_no"]): r["centres"] for r in QUERIES["interval_centroids"](spark, sf).collect()}
+    assert got == want
+
+
+def test_answered_turns_by_parts(spark, sf):
+    """The stub asks the input back, so each turn's context is that of the three-stage search with its question."""
+    from pyspark.sql import functions as F
+
+    got = QUERIES["answered_turns"](spark, sf).collect()
+    last = {r["conv_id"]: r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).collect()}
+    for r in got:
+        assert r["questions"].split("|")[0] in last[r["conv_id"]].replace("\r", " ").replace("\n", " ")
+
+
+def test_stores_that_cannot_be_read_hold_nothing(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidepool.plans.conversation import answer_from_store
+
+    turns = spark.createDataFrame([(1, 0, "user", "hello there")], "conv_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, "Human: what is it?")], "conv_id long, question string")
+    broken = tmp_path / "store" / "chunks_small"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet at all")
+    for store in ("nowhere", "store"):
+        out = answer_from_store(asked, turns, str(tmp_path / store)).collect()
+        assert [(r["conv_id"], r["context"], r["questions"]) for r in out] == [(1, "", ["what is it?"])]
+
+

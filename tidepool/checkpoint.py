@@ -6,18 +6,18 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: While it is on, Spark drops a query's shuffle files as it ends. What is checkpointed needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage, in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which checkpoints and other intermediate files go to.
 
     Only a local session without that setting gets a temporary folder, which goes when Python ends.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared:
@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="tidepool-checkpoints-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once and cuts its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     conf, was = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, "false")
     conf.set(_CLEANUP, "true")
     try:

@@ -17,9 +17,9 @@ SPEAKERS = {"human": "Human: ", "ai": "Assistant: "}
 SNIPPET = "Context {i}:\n{{{text}}}. {{source: {source}}}"
 FILE_CONTEXT = "\nContext about {file}:\n{{{texts}}}\n"
 
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
-#: All letters, all digits, or something with a digit and an ASCII letter.
-KEPT = r"^(?:\p{L}+|\p{Nd}+|(?=.*[0-9])(?=.*[a-zA-Z]).+)$"
+PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+#: A whole token of letters alone, of digits alone, or with a digit and an ASCII letter.
+KEPT = r"(?<!\S)(?:\p{L}++|\p{Nd}++|(?=\S*?[0-9])(?=\S*?[a-zA-Z])\S++)(?!\S)"
 SPACES = r"[ \t\n\r\f\x0B]+"
 #: Common English function words that the lexical search skips.
 STOPWORDS = (
@@ -42,8 +42,7 @@ def clean_tokens(text: Column, lemmatize: Lemmatizer | None = None) -> Column:
     tokens stay that are no English stop words. ``lemmatize`` maps a token.
     """
     plain = F.regexp_replace(F.lower(F.replace(text, F.lit("[SEP]"), F.lit(""))), PUNCTUATION, "")
-    tokens = F.split(plain, SPACES)
-    kept = F.filter(tokens, lambda w: w.rlike(KEPT) & ~w.isin(STOPWORDS))
+    kept = F.filter(F.regexp_extract_all(plain, F.lit(KEPT), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
     return F.transform(kept, lemmatize) if lemmatize else kept
 
 
@@ -77,7 +76,6 @@ def standalone_questions(answer: Column, at_most: int = 3) -> Column:
     marked = "(?s)" + MARKED
     source = F.when(answer.rlike(marked), F.btrim(F.regexp_extract(answer, marked, 1), F.lit(" \t\n\r\x0b\x0c"))).otherwise(answer)
     lines = F.filter(F.transform(F.split(source, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))), lambda x: x != "")
-    prefix = r"^\((\d+)\)\.? ?|^\d+\.? ?\)?|^(\d+)\) ?|^[Qq]uery \d+: ?|^[Qq]uery: ?"
     plain = F.transform(lines, lambda x: F.regexp_replace(x, PREFIX, ""))
     return F.slice(F.when(F.size(numbered) > 0, numbered).otherwise(plain), 1, at_most)
 

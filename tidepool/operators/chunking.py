@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from tidepool.functions.text import Lemmatizer, clean_tokens, title, words
 
@@ -113,6 +114,26 @@ def merge_chunks(chunks: DataFrame, scale: int = 3, parity: bool = False) -> Dat
     return g.withColumn("win_lo", lo).withColumn("win_hi", hi)
 
 
+def roll_up(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """keys, and for any metadata column c what its rows hold, in their ``order``; a null is no value.
+
+    c: the value, if all rows that have one agree. Else a number's c_lower_bound and c_upper_bound, and for
+    other types c_values, the distinct values in order of first appearance.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    out: list[Column] = []
+    for c in columns:
+        if isinstance(kinds[c], (NumericType, BooleanType)):
+            many = F.min(c) < F.max(c)
+            out += [F.when(~many, F.min(c)).alias(c), F.when(many, F.min(c)).alias(f"{c}_lower_bound"), F.when(many, F.max(c)).alias(f"{c}_upper_bound")]
+        else:
+            first = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
+            held = F.array_distinct(F.transform(first, lambda x: x["v"]))
+            many = F.size(held) > 1
+            out += [F.when(F.size(held) == 1, F.element_at(held, 1)).alias(c), F.when(many, held).alias(f"{c}_values")]
+    return rows.groupBy(*keys).agg(*out)
+
+
 def enrich(chunks: DataFrame, lemmatize: Lemmatizer | None = None) -> DataFrame:
     """Adds digests, title, the text to embed and the tokens and text for lexical search."""
     out = chunks.withColumn("file_name", F.element_at(F.split("source", "/"), -1)).withColumn("title", title(F.col("source")))

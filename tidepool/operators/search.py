@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one broadcast block.
-QUERY_BLOCK = 4096
-
-
 def ranked(scores: DataFrame, keys: Sequence[str], k: int | None, order: Sequence[Column]) -> DataFrame:
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return out if k is None else out.where(F.col("rank") <= k)
@@ -21,29 +17,31 @@ def ranked(scores: DataFrame, keys: Sequence[str], k: int | None, order: Sequenc
 def bm25_scores(docs: DataFrame, queries: DataFrame, group: Sequence[str] = (), id_col: str = "doc_key", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """query_id, group columns, doc id, score of every document that shares a token with the query.
 
-    docs: group columns, id, tokens; queries: group columns, query_id, tokens.
+    docs: group columns, id, tokens; queries: query_id, tokens and, if a query is for
+    one group only, the group columns; without them it is asked of every group.
     Statistics are those of a group's documents alone. A token in over half of
     them gets ``epsilon`` times the group's mean idf. Repeated query tokens count
     again. Only tokens that are asked for are counted by document, and counts
     are combined before they are shuffled.
     """
     g = list(group)
+    asked_of = [c for c in g if c in queries.columns]
     sizes = docs.select(*g, id_col, F.size("tokens").alias("dl"), "tokens")
     stats = sizes.groupBy(*g).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(*g, "query_id", F.explode("tokens").alias("token")).groupBy(*g, "query_id", "token").agg(F.count("*").alias("qtf"))
-    terms = asked.select(*g, "token").dropDuplicates()
-    tf = sizes.select(*g, id_col, "dl", F.explode("tokens").alias("token")).join(terms, [*g, "token"], "left_semi").groupBy(*g, id_col, "dl", "token").agg(F.count("*").alias("tf"))
+    asked = queries.select(*asked_of, "query_id", F.explode("tokens").alias("token")).groupBy(*asked_of, "query_id", "token").agg(F.count("*").alias("qtf"))
+    terms = asked.select(*asked_of, "token").dropDuplicates()
+    tf = sizes.select(*g, id_col, "dl", F.explode("tokens").alias("token")).join(terms, [*asked_of, "token"], "left_semi").groupBy(*g, id_col, "dl", "token").agg(F.count("*").alias("tf"))
     df = sizes.select(*g, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*g, "token").agg(F.count("*").alias("df"))
     one = F.lit(1).alias("__all")
     keys = g or ["__all"]
     idf = (df if g else df.select("*", one)).join(stats if g else stats.select("*", one), keys)
     idf = idf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(terms, [*g, "token"], "left_semi").join(mean, keys)
+    idf = idf.join(terms, [*asked_of, "token"], "left_semi").join(mean, keys)
     idf = idf.select(*g, "token", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     weight = tf.join(idf, [*g, "token"])
     weight = weight.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    return weight.join(asked, [*g, "token"]).groupBy(*g, "query_id", id_col).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    return weight.join(asked, [*asked_of, "token"]).groupBy(*g, "query_id", id_col).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int | None = 3, group: Sequence[str] = (), id_col: str = "doc_key", digits: int = 6) -> DataFrame:
@@ -52,44 +50,57 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int | None = 3, group: Se
     return ranked(s, [*group, "query_id"], k, [F.desc("score"), F.asc(id_col)])
 
 
-def vector_scores(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_key", vec_col: str = "embedding", file_col: str | None = None) -> DataFrame:
-    """query_id, id, score: inner products, the k best of each partition of docs.
+def bm25_within(rows: DataFrame, group: str, keep: Sequence[str] = (), id_col: str = "doc_key", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 6) -> DataFrame:
+    """group, id, columns of ``keep``, score as ``bm25_scores`` gives them with one query a group.
+
+    rows: group, id, tokens, asked (a map of the group's query tokens to their
+    counts). All statistics are windows over the group, so rows that lie
+    together by group are not shuffled again.
+    """
+    of_group, of_token = Window.partitionBy(group), Window.partitionBy(group, "token")
+    own = [*keep, "dl", "n", "avgdl"]
+    token = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.try_element_at("asked", t).alias("qtf")))
+    sized = rows.select(group, id_col, *keep, token.alias("t"), F.size("tokens").alias("dl")).withColumn("n", F.count("*").over(of_group)).withColumn("avgdl", F.avg("dl").over(of_group))
+    tf = sized.select(group, id_col, *own, F.explode("t").alias("t")).groupBy(group, id_col, F.col("t.token").alias("token")).agg(*[F.first(c).alias(c) for c in own], F.first("t.qtf").alias("qtf"), F.count("*").alias("tf"))
+    idf = tf.withColumn("df", F.count("*").over(of_token)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # a token stands in df rows, so its share of the group's mean idf is spread over them
+    mean = F.sum(F.col("idf") / F.col("df")).over(of_group) / F.sum(1 / F.col("df")).over(of_group)
+    weighed = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf"))).where("qtf is not null")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return weighed.groupBy(group, id_col).agg(*[F.first(c).alias(c) for c in keep], F.round(F.sum(part), digits).alias("score"))
+
+
+def token_counts(tokens: Column) -> Column:
+    """A map of an array's tokens to how often they stand in it; for questions, which are short."""
+    return F.map_from_arrays(F.array_distinct(tokens), F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
+
+
+def vector_scores(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_key", vec_col: str = "embedding", file_col: str | None = None, query_rows: int = 4096, doc_rows: int = 8192) -> DataFrame:
+    """query_id, id, score: inner products, the k best of each tile of docs and what ties with them.
 
     queries: query_id, vector and, with ``file_col``, the file it is limited to.
-    Query vectors are broadcast in blocks of QUERY_BLOCK, one pass over docs each.
+    Queries and docs are dealt into tiles of a bounded number of rows, by a hash
+    of their ids; each cell of the grid is one matrix product.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = []
-    files = [file_col] if file_col else []
-    for n in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        rows = own.select("query_id", vec_col, *files).collect()  # one block, about QUERY_BLOCK rows
-        if not rows:
-            continue
-        block = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r[vec_col] for r in rows], np.float64), [r[file_col] for r in rows] if file_col else None))
-
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            ids, q, limits = block.value
-            limits = np.array(limits, object) if limits else None
-            for b in batches:
-                b = b[b[vec_col].notna()]
-                if not len(b):
-                    continue
-                s = q @ np.stack(b[vec_col].to_numpy()).astype(np.float64).T
-                if limits is not None:
-                    s = np.where(limits[:, None] == b[file_col].to_numpy(object)[None, :], s, -np.inf)
-                keep = np.sort(s, axis=1)[:, -min(k, s.shape[1])] - 1e-9  # ties beyond the k-th go on
-                x, y = np.nonzero((s >= keep[:, None]) & np.isfinite(s))
-                yield pd.DataFrame({"query_id": np.array(ids)[x], id_col: b[id_col].to_numpy()[y], "score": s[x, y]})
-
-        kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *docs.schema.fields]}
-        parts.append(docs.select(id_col, vec_col, *files).mapInPandas(run, f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, score double"))
-    if not parts:
-        return queries.join(docs.select(id_col), F.lit(False)).select("query_id", id_col, F.lit(0.0).alias("score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n_q, n_d = max(1, -(-queries.count() // query_rows)), max(1, -(-docs.count() // doc_rows))
+    files = [F.col(file_col).alias("file")] if file_col else []
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qt"), every(n_d).alias("dt"), "query_id", F.col(vec_col).alias("v"), *files)
+    d = docs.where(F.col(vec_col).isNotNull()).select(every(n_q).alias("qt"), F.pmod(F.xxhash64(id_col), F.lit(n_d)).cast("int").alias("dt"), id_col, F.col(vec_col).alias("v"), *files)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *docs.schema.fields]}
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        s = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
+        if file_col:
+            s = np.where(left["file"].to_numpy(object)[:, None] == right["file"].to_numpy(object)[None, :], s, -np.inf)
+        top = min(k, s.shape[1])
+        keep = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top] - 1e-9  # ties beyond the k-th go on
+        x, y = np.nonzero((s >= keep[:, None]) & np.isfinite(s))
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], id_col: right[id_col].to_numpy()[y], "score": s[x, y]})
+
+    return q.groupBy("qt", "dt").cogroup(d.groupBy("qt", "dt")).applyInPandas(cell, f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, score double")
 
 
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "doc_key", vec_col: str = "embedding", file_col: str | None = None, digits: int = 6) -> DataFrame:

@@ -81,6 +81,20 @@ SQL: dict[str, str] = {
     "chunk_windows_fine": f"WITH {_small(10)}, {_windows(2, 7)} SELECT source, small_chunk_idx, win_lo, win_hi FROM win",
     "chunk_medium": f"WITH {_small()}, {_windows()}, {_medium()} SELECT source, medium_chunk_idx, small_lo, small_hi, win_lo, win_hi, raw_text FROM med",
     "chunk_medium_misaligned": f"WITH {_small(10)}, {_windows()}, {_medium(2)} SELECT source, medium_chunk_idx, CASE WHEN win_lo = lo_hi THEN win_lo END AS win_lo, CASE WHEN win_hi = hi_lo THEN win_hi END AS win_hi FROM med",
+    "chunk_rollup": """WITH d AS (SELECT doc_id - doc_id % 10 AS g, * FROM documents),
+firsts AS (SELECT g, list(lang ORDER BY seen) AS langs FROM (SELECT g, lang, min(doc_id) AS seen FROM d WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY g),
+sources AS (SELECT g, list(source ORDER BY seen) AS srcs FROM (SELECT g, source, min(doc_id) AS seen FROM d WHERE source IS NOT NULL GROUP BY ALL) GROUP BY g),
+n AS (SELECT g, min(n_chars) AS a, max(n_chars) AS b, min(length(lang)) AS k FROM d GROUP BY g)
+SELECT g AS first_id, CASE WHEN len(langs) = 1 THEN langs[1] END AS lang, CASE WHEN len(langs) > 1 THEN array_to_string(langs, ',') END AS lang_values,
+  CASE WHEN len(srcs) = 1 THEN srcs[1] END AS source, CASE WHEN len(srcs) > 1 THEN array_to_string(srcs, ',') END AS source_values,
+  CASE WHEN a = b THEN a END AS n_chars, CASE WHEN a < b THEN a END AS n_chars_lower_bound, CASE WHEN a < b THEN b END AS n_chars_upper_bound, k AS lang_size
+FROM n LEFT JOIN firsts USING (g) LEFT JOIN sources USING (g)""",
+    "ingested_files": f"""WITH {_small()}, {_windows()}, {_medium()}, every AS (SELECT 'small' AS kind, source, small_chunk_idx AS chunk_idx, raw_text FROM small UNION ALL SELECT 'medium', source, medium_chunk_idx, raw_text FROM med)
+SELECT kind, CAST(regexp_extract(source, '([0-9]+)[.]txt$', 1) AS BIGINT) AS doc_id, chunk_idx, md5(raw_text) AS raw_md5 FROM every""",
+    "pair_centre": f"""WITH {_small()}, {_windows()}, c AS (SELECT source, length(source) % 7 AS lo, length(source) % 7 + count(*) % 8 AS lo2, max(win_hi) AS m FROM win GROUP BY source),
+p AS (SELECT source, lo, lo + 5 AS hi, lo2, lo2 + m % 5 + length(source) % 3 AS hi2 FROM c),
+mid AS (SELECT *, (lo + hi + 1) // 2 AS a, (lo2 + hi2 + 1) // 2 AS b FROM p)
+SELECT source, CAST(CASE WHEN lo2 > hi OR lo > hi2 THEN a WHEN lo <= lo2 AND hi2 <= hi THEN b ELSE round_even((a + b) / 2e0, 0) END AS BIGINT) AS centre FROM mid""",
     "enrich_md5": f"WITH {_small()}, t AS (SELECT *, regexp_replace({_BASE}, '[.][^.]*$', '') AS title FROM small) SELECT source, small_chunk_idx, title, md5(source) AS source_md5, md5(raw_text) AS raw_md5, md5(title || chr(10) || raw_text) AS embed_md5 FROM t",
     "clean_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_clean('text')}) AS token FROM documents) GROUP BY token",
     "filter_and_or": "SELECT doc_id, lang, n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE (lang = 'de' OR quality = 1) AND n_chars > 500 AND source <= 'src5'",
@@ -89,7 +103,7 @@ SQL: dict[str, str] = {
     "set_operations": "WITH a AS (SELECT lang, source FROM documents WHERE lang IN ('en', 'de')), b AS (SELECT lang, source FROM documents WHERE source < 'src3') SELECT lang, source, 'union' AS op FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT lang, source, 'intersect' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)",
     "window_stab": f"WITH {_small(10)}, {_windows()}, {_medium()} SELECT md5(source) AS source_md5, medium_chunk_idx, win_lo, win_hi FROM med WHERE 0 BETWEEN win_lo AND win_hi OR 2 BETWEEN win_lo AND win_hi",
     "bm25_top3": f"WITH {_bm25('', _DOCS, _ASKED, '', 3)} SELECT query_id, rank, doc_id, score FROM hits",
-    "bm25_per_file": f"WITH {_bm25('source', _DOCS, f'SELECT source, query_id, tokens FROM ({_ASKED}) CROSS JOIN (SELECT DISTINCT source FROM documents) WHERE query_id < 10', '', 3)} SELECT source, query_id, rank, doc_id, score FROM hits",
+    "bm25_per_file": f"WITH {_bm25('source', _DOCS, f'SELECT source, query_id, tokens FROM ({_ASKED}) CROSS JOIN (SELECT DISTINCT source FROM documents)', '', 3)} SELECT source, query_id, rank, doc_id, score FROM hits",
     "vector_topk": f"WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) AS score FROM v q CROSS JOIN v WHERE q.vec_id % 100 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5",
     "vector_topk_filtered": f"WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) AS score FROM v q JOIN v USING (label) WHERE q.vec_id % 100 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5",
     "rrf_fuse": f"WITH {_fused(0.5, 0.5)} SELECT query_id, raw_md5, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, raw_md5) AS rank FROM fused",
@@ -100,7 +114,7 @@ SQL: dict[str, str] = {
     "history_suffix": f"SELECT conv_id, turn, CAST(held AS BIGINT) AS held FROM (SELECT conv_id, turn, sum(len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS held FROM conversations) WHERE held <= 120",
     "id_parse": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN conv_id || ',2,' || turn WHEN 1 THEN '' ELSE '7' END AS ids FROM conversations",
     "snippet_render": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5) SELECT lang, string_agg('Context ' || (rank - 1) || ':' || chr(10) || '{' || text || '}. {source: ' || source || '}', chr(10) || chr(10) || chr(10) ORDER BY rank) AS snippets FROM r GROUP BY lang",
-    "context_assemble": """WITH d AS (SELECT doc_id, doc_id % 20 AS conv_id, CAST(substring(source, 4) AS INT) AS file_pos, source, ascii(lang) AS question_pos, doc_id % 50 AS m, md5(text) AS h, text FROM documents WHERE n_chars < 2000),
+    "context_assemble": """WITH d AS (SELECT doc_id, doc_id // 50 AS conv_id, CAST(substring(source, 4) AS INT) AS file_pos, source, ascii(lang) AS question_pos, doc_id % 50 AS m, md5(text) AS h, text FROM documents),
 k AS (SELECT *, min(file_pos) OVER (PARTITION BY conv_id, h) AS first_pos FROM d),
 f AS (SELECT conv_id, file_pos, source, coalesce(string_agg(CASE WHEN first_pos = file_pos THEN text END, chr(10) ORDER BY m, question_pos, doc_id), '') AS texts FROM k GROUP BY ALL)
 SELECT conv_id, string_agg(chr(10) || 'Context about ' || source || ':' || chr(10) || '{' || texts || '}' || chr(10), '' ORDER BY file_pos) AS context FROM f GROUP BY conv_id""",

@@ -6,17 +6,20 @@ label stands for the file, conversations the chat history.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.checkpoint import cut
+from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
 from tidepool.operators import chunking, filters, search
 from tidepool.plans import conversation, retrieval
-from tidepool.plans.ingest import chunk
+from tidepool.plans.ingest import embedded_chunks, ingest_folder
 from tidepool.providers import get_embedding
+from tidepool.sources.files import read_store
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -85,6 +88,30 @@ def chunk_medium_misaligned(spark, sf):
     return _longs(chunking.merge_chunks(small, 2, parity=True).select("source", "medium_chunk_idx", "win_lo", "win_hi"))
 
 
+def chunk_rollup(spark, sf):
+    """Any metadata of ten documents in a row rolled up: bounds of numbers, distinct values of the rest in order."""
+    d = _table(spark, sf, "documents").select((F.col("doc_id") - F.col("doc_id") % 10).alias("first_id"), "doc_id", "lang", "source", "n_chars", F.length("lang").alias("lang_size"))
+    out = chunking.roll_up(d, ["first_id"], ["lang", "source", "n_chars", "lang_size"], "doc_id")
+    return _longs(out.select("first_id", "lang", F.array_join("lang_values", ",").alias("lang_values"), "source", F.array_join("source_values", ",").alias("source_values"), "n_chars", "n_chars_lower_bound", "n_chars_upper_bound", "lang_size"))
+
+
+def ingested_files(spark, sf):
+    """Every document as a text file of its own, loaded, chunked, stored and read back."""
+    folder = f"{shared_folder(spark)}/ingested-{uuid.uuid4().hex}"
+    docs = _table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    docs.repartition("name").write.partitionBy("name").text(f"{folder}/files")
+    ingest_folder(spark, f"{folder}/files/*", f"{folder}/store")
+    doc_id = F.regexp_extract("source", r"name=doc(\d+)/[^/]*\.txt$", 1).cast("long").alias("doc_id")
+    rows = None
+    for name in ("small", "medium"):
+        part = read_store(spark, f"{folder}/store/chunks_{name}").select(F.lit(name).alias("kind"), doc_id, F.col(f"{name}_chunk_idx").alias("chunk_idx"), "raw_md5")
+        rows = part if rows is None else rows.unionByName(part)
+    out = cut(_longs(rows))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def enrich_md5(spark, sf):
     """C7, C8."""
     return _longs(chunking.enrich(chunking.split_by_words(_pages(spark, sf))).select("source", "small_chunk_idx", "title", "source_md5", "raw_md5", F.md5("embed_text").alias("embed_md5")))
@@ -149,12 +176,8 @@ def bm25_top3(spark, sf):
 
 
 def bm25_per_file(spark, sf):
-    """R1, K3 with statistics of each source alone, for ten questions a source."""
-    q = _questions(spark, sf).where("query_id < 10")
-    docs = _bm25_docs(spark, sf)
-    sources = docs.select("source").distinct()
-    asked = q.withColumn("all", F.lit(1)).join(sources.withColumn("all", F.lit(1)), "all").drop("all")
-    return _longs(search.bm25_top_k(docs, asked, 3, ["source"], "doc_id").select("source", "query_id", "rank", "doc_id", "score"))
+    """R1, K3 with statistics of each source alone: every question is asked of every source."""
+    return _longs(search.bm25_top_k(_bm25_docs(spark, sf), _questions(spark, sf), 3, ["source"], "doc_id").select("source", "query_id", "rank", "doc_id", "score"))
 
 
 def _vectors(spark, sf):
@@ -218,10 +241,10 @@ def dynamic_k(spark, sf):
 
 
 def pair_centre(spark, sf):
-    """R8 for two intervals, by the same function as for any number."""
-    c = _small(spark, sf).groupBy("source").agg(F.max("win_hi").alias("m"))
-    lo = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(7)).cast("int")
-    pair = F.array(F.struct(lo.alias("lo"), (lo + 5).alias("hi")), F.struct((lo + 3).alias("lo"), (lo + 9 + F.col("m")).alias("hi")))
+    """R8 for two intervals, by the same function as for any number: apart, one in the other, or overlapping."""
+    c = _small(spark, sf).groupBy("source").agg(F.max("win_hi").alias("m"), F.count("*").cast("int").alias("n"))
+    lo, second = F.length("source") % 7, F.length("source") % 7 + F.col("n") % 8
+    pair = F.array(F.struct(lo.alias("lo"), (lo + 5).alias("hi")), F.struct(second.alias("lo"), (second + F.col("m") % 5 + F.length("source") % 3).alias("hi")))
     return _longs(c.select("source", F.element_at(interval_centres(pair), 1).alias("centre")))
 
 
@@ -272,16 +295,16 @@ def snippet_render(spark, sf):
 
 
 def context_assemble(spark, sf):
-    """Sources as files, languages as questions."""
-    d = _table(spark, sf, "documents").where("n_chars < 2000")
-    rows = d.select(F.expr("cast(substring(source, 4) as int)").alias("file_pos"), F.col("source").alias("file_name"), F.expr("cast(ascii(lang) as int)").alias("question_pos"), F.col("doc_id").alias("pos"), F.expr("cast(doc_id % 50 as int)").alias("medium_chunk_idx"), F.md5("text").alias("raw_md5"), F.col("text").alias("raw_text"), (F.col("doc_id") % 20).alias("conv_id"))
+    """Sources as files, languages as questions, fifty documents in a row as a conversation."""
+    d = _table(spark, sf, "documents")
+    rows = d.select(F.expr("cast(substring(source, 4) as int)").alias("file_pos"), F.col("source").alias("file_name"), F.expr("cast(ascii(lang) as int)").alias("question_pos"), F.col("doc_id").alias("pos"), F.expr("cast(doc_id % 50 as int)").alias("medium_chunk_idx"), F.md5("text").alias("raw_md5"), F.col("text").alias("raw_text"), F.expr("doc_id div 50").alias("conv_id"))
     return conversation.assemble(rows, ("conv_id",))
 
 
 def three_stage(spark, sf):
     """R5, R9, §3.2: all questions over chunks of whole documents, with the first two rows selected."""
     embed = get_embedding("hashing")
-    small, medium = (cut(c.withColumn("embedding", embed(F.col("embed_text")))) for c in chunk(_pages(spark, sf)))  # as stores
+    small, medium = (cut(c) for c in embedded_chunks(_pages(spark, sf)))  # as stores
     b = _table(spark, sf, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("num_query"), tx.clean_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("embedding"))
     return _longs(retrieval.retrieve(small, medium, cut(q)).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
@@ -325,8 +348,7 @@ def hashed_embedding(spark, sf):
 
 def answered_turns(spark, sf):
     """Whole turns over all documents with the stub model: each conversation's last turn is its input, those before it its history."""
-    embed = get_embedding("hashing")
-    small, medium = (cut(c.withColumn("embedding", embed(F.col("embed_text")))) for c in chunk(_pages(spark, sf)))
+    small, medium = (cut(c) for c in embedded_chunks(_pages(spark, sf)))
     c = _table(spark, sf, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("text"))
     asked = last.select("conv_id", F.concat(F.lit("Human: "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " ")).alias("question"))
@@ -338,7 +360,7 @@ def answered_turns(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, enrich_md5, clean_tokens,
+        list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, enrich_md5, clean_tokens,
         filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,

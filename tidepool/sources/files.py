@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepool.functions.text import extension
 
@@ -69,8 +72,19 @@ def write_store(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_store(spark: SparkSession, path: str, schema: StructType | None = None, on_error: str = "raise") -> DataFrame:
+    """The store's chunks. With on_error="empty" files that are missing or broken hold no rows, and a store that isn't there none at all."""
+    if on_error == "raise":
+        return spark.read.parquet(path)
+    if on_error != "empty" or schema is None:
+        raise ValueError("on_error is raise, or empty with a schema")
+    try:
+        return spark.read.schema(schema).option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        logging.getLogger(__name__).error("no store at %s", path)
+        return spark.createDataFrame([], schema)
 
 
 def file_names(chunks: DataFrame) -> DataFrame:
