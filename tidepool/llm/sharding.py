@@ -2,119 +2,135 @@
 
 A node of the tree holds rows and a number of leaves. It is split along its
 widest metadata dimension at the weighted median, the weight of a row being its
-bytes, until each node is one leaf, which is then near the target bytes. All nodes of a
-level are split together. The medians are exact: each is found bit by bit in
-rounds, where a round is one map-side combined sum of bytes by node and the
-next few bits of the sort key; the driver gets at most 2^18 sums, or 128 a node, whatever the input.
+bytes, until each node is one leaf: ``shards`` leaves, or as many as bring a leaf
+to ``target_bytes``. Dimensions are language, source and size. A row's place in
+one is the share of all bytes that lie in smaller values, in 4096 steps, so the
+dimensions have one scale and any of them can be the widest; names are ordered
+by their hash.
 
-Ties of a dimension go by a hash of the text and then of the row, so a cut can
-fall anywhere inside a hot source, and copies of a text stay together unless a
-cut falls into their group: bytes come first.
+All nodes of a level are split together, and nothing but the number of leaves
+passes through the driver. The medians are exact: each is found in four rounds
+of 13 bits of the sort key, where a round is one map-side combined sum of bytes
+by node and bits. A level's cuts, a row a node, are broadcast: at most
+``MOST_LEAVES`` rows.
+
+Equal texts have the least places of their copies, and so one sort key: they
+stay together as one block up to a twentieth of a leaf's bytes, or those of the
+largest document. In larger groups, rows are told apart by a hash of their id,
+and a cut can fall into the group: bytes come first.
 
 Defined results: a null text has one byte (its end); null metadata sort first.
-Rows that are equal in every column that counts are cut as one block. Extra
-columns are ignored. Empty tables give no rows.
+Rows that are equal in doc_id and text are one block. Shards can be empty where
+there are fewer blocks than leaves. Extra columns are ignored. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import cut, text_or_empty
 
-#: Width of a sort key: 20 bits of the dimension, 36 of the tie-break.
-DIM_BITS, TIE_BITS = 20, 36
-KEY_BITS = DIM_BITS + TIE_BITS
+DIMS = ("lang", "source", "size")
+#: Bits of a sort key: the place in the dimension, the text's hash, the row's.
+PLACE_BITS, TEXT_BITS, ROW_BITS = 12, 24, 16
+TIE_BITS = TEXT_BITS + ROW_BITS
+#: Bits that a round settles.
+STEP = 13
+PLACES = 1 << PLACE_BITS
+#: Leaves at most, as a level's cuts are broadcast.
+MOST_LEAVES = 1 << 20
+#: A group of equal texts up to this share of a leaf stays together.
+TOGETHER = 1 / 20
 #: Rows of a slot bucket.
 BUCKET_ROWS = 20_000
 
 
-def _dims(docs: DataFrame) -> DataFrame:
-    """One row a document: its size, crc, tie-break and dimensions, each 0 to 2^20 - 1."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, text_key, and a bin for each dimension: one row a document, without its text."""
     text = text_or_empty()
-    raw = F.encode(text, "UTF-8")
-    name = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.col(c)), F.lit((1 << DIM_BITS) - 1)))
     nothing = F.lit(None).cast("string")
-    own = docs.select("doc_id", "text", *[(F.col(c).cast("string") if c in docs.columns else nothing).alias(c) for c in ("lang", "source")])
+    own = docs.select("doc_id", "text", *[(F.col(c).cast("string") if c in docs.columns else nothing).alias(c) for c in DIMS[:2]])
     size = F.octet_length(text).cast("long") + 1
-    scaled = F.least(F.lit((1 << DIM_BITS) - 1), F.floor(F.log2(size.cast("double")) * F.lit(float(1 << (DIM_BITS - 6))))).cast("long")
-    return own.select(
-        "doc_id",
-        size.alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        # copies of a text share the upper 20 bits of the tie-break
-        (F.shiftleft(F.pmod(F.xxhash64(text), F.lit(1 << 20)), 16) + F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 16))).alias("tie"),
-        F.array(name("lang").cast("long"), name("source").cast("long"), scaled).alias("dims"),
-    )
-
-
-def _medians(rows: DataFrame, plans: dict[int, tuple[int, float]]) -> dict[int, int]:
-    """plans: node -> (dimension, bytes wanted on the left). Returns node -> the first key of its right side."""
+    name = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.col(c)), F.lit(PLACES - 1))).cast("int")
+    by_size = F.least(F.lit(PLACES - 1), F.floor(F.log2(size.cast("double")) * (PLACES // 64))).cast("int")
+    return own.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_key"), F.array(name("lang"), name("source"), by_size).alias("bins"))
+
+
+def _placed(rows: DataFrame, together: Column) -> DataFrame:
+    """Adds tie and dims, the places in the dimensions; ``together`` is the bytes up to which equal texts are one block."""
+    bins = rows.select("size", F.posexplode("bins").alias("dim", "bin")).groupBy("dim", "bin").agg(F.sum("size").alias("b"))
+    order = Window.partitionBy("dim").orderBy("bin")  # at most PLACES rows
+    middle = (F.sum("b").over(order) - F.col("b") / 2) / F.sum("b").over(Window.partitionBy("dim"))
+    places = bins.select("dim", "bin", F.floor(middle * (PLACES - 1)).cast("long").alias("place"))
+    for i in range(len(DIMS)):
+        own = F.broadcast(places.where(F.col("dim") == i).select(F.col("bin").alias("b"), F.col("place").alias(f"p{i}")))
+        rows = rows.join(own, F.element_at("bins", i + 1) == F.col("b")).drop("b")
+    group = rows.groupBy("text_key").agg(F.sum("size").alias("group_bytes"), *[F.min(f"p{i}").alias(f"g{i}") for i in range(len(DIMS))])
+    apart = F.when(F.col("group_bytes") <= together, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << ROW_BITS)))
+    tie = F.shiftleft(F.pmod("text_key", F.lit(1 << TEXT_BITS)), ROW_BITS) + apart
+    return rows.join(group, "text_key").select("doc_id", "size", "text_crc32", tie.alias("tie"), F.array(*[f"g{i}" for i in range(len(DIMS))]).alias("dims"))
+
+
+def _key(dim: Column) -> Column:
+    return F.shiftleft(F.element_at("dims", dim + 1), TIE_BITS) + F.col("tie")
+
+
+def _plan(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, dim (the widest, the first of equals), want (bytes of the left side) of nodes that have several leaves."""
+    place = lambda i: F.element_at("dims", i + 1)
+    stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(place(i)) - F.min(place(i))).alias(f"width{i}") for i in range(len(DIMS))])
+    widths = [F.col(f"width{i}") for i in range(len(DIMS))]
+    widest = F.coalesce(*[F.when(w == F.greatest(*widths), F.lit(i)) for i, w in enumerate(widths)])
+    return stats.join(F.broadcast(nodes.where("leaves > 1")), "node").select("node", widest.alias("dim"), (F.col("bytes") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("want"))
+
+
+def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """node, dim, first: the first key of the right side of each node."""
+    keyed = rows.join(F.broadcast(plan.select("node", "dim")), "node").select("node", "size", _key(F.col("dim")).alias("key"))
+    state = plan.select("node", "dim", "want", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("left"))
+    by_bin = Window.partitionBy("node").orderBy("bin")
+    for done in range(0, PLACE_BITS + TIE_BITS, STEP):
+        shift = PLACE_BITS + TIE_BITS - done - STEP
+        inside = keyed.join(F.broadcast(state), "node").where(F.shiftrightunsigned("key", shift + STEP) == F.col("prefix"))
+        bits = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << STEP) - 1))
+        sums = inside.groupBy("node", "dim", "want", "prefix", "left", bits.alias("bin")).agg(F.sum("size").alias("b"))
+        upto = sums.withColumn("upto", F.col("left") + F.sum("b").over(by_bin)).withColumn("last", F.max("bin").over(Window.partitionBy("node")))
+        over = upto.where((F.col("upto") > F.col("want")) | (F.col("bin") == F.col("last"))).withColumn("n", F.row_number().over(by_bin)).where("n = 1")
+        state = over.select("node", "dim", "want", (F.shiftleft("prefix", STEP) + F.col("bin")).alias("prefix"), (F.col("upto") - F.col("b")).alias("left"), "b")
+    # one block of equal keys is left: it goes to the side that is nearer
+    return state.select("node", "dim", (F.col("prefix") + (F.col("left") + F.col("b") / 2 <= F.col("want")).cast("int")).alias("first"))
+
+
+def shard_by_kd_tree(docs: DataFrame, shards: int = 16, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard int, slot long (gapless from 0 in each shard).
+
+    ``target_bytes`` takes the place of ``shards``: as many leaves as hold so many bytes each.
+    """
+    rows = cut(_rows(docs))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.coalesce(F.max("size"), F.lit(0)).alias("most")).first()
+    if target_bytes:
+        shards = max(1, -(-int(total["b"]) // target_bytes))
+    if shards > MOST_LEAVES:
+        raise ValueError(f"{shards} shards are over {MOST_LEAVES}")
+    together = max(float(total["most"]), total["b"] / shards * TOGETHER)
+    rows = cut(_placed(rows, F.lit(together))).withColumn("node", F.lit(0).cast("long"))
     spark = rows.sparkSession
-    plan = spark.createDataFrame([(n, d) for n, (d, _) in plans.items()], "node int, dim int")
-    keyed = rows.join(F.broadcast(plan), "node").select("node", "size", (F.shiftleft(F.element_at("dims", F.col("dim") + 1), TIE_BITS) + F.col("tie")).alias("key"))
-    prefix, left = dict.fromkeys(plans, 0), dict.fromkeys(plans, 0.0)
-    step = 14 if len(plans) <= 16 else 7
-    for done in range(0, KEY_BITS, step):
-        shift = KEY_BITS - done - step
-        at = spark.createDataFrame(list(prefix.items()), "node int, prefix long")
-        here = keyed.join(F.broadcast(at), "node")
-        inside = here if not done else here.where(F.shiftrightunsigned("key", shift + step) == F.col("prefix"))
-        sums = inside.groupBy("node", F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << step) - 1)).alias("bin")).agg(F.sum("size").alias("b")).collect()
-        found: dict[int, list[tuple[int, int]]] = {n: [] for n in plans}
-        for r in sums:
-            found[r["node"]].append((r["bin"], r["b"]))
-        for n, (_, want) in plans.items():
-            bins = sorted(found[n])
-            chosen = bins[-1][0] if bins else 0
-            for b, size in bins:
-                if left[n] + size > want:
-                    chosen = b
-                    break
-                if b != bins[-1][0]:
-                    left[n] += size
-            prefix[n] = (prefix[n] << step) + chosen
-            if shift == 0:  # one block of equal keys is left: it goes to the side that is nearer
-                size = dict(bins).get(chosen, 0)
-                if left[n] + size / 2 <= want:
-                    prefix[n] += 1
-    return prefix
-
-
-def shard_by_kd_tree(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, shard int, slot long (gapless from 0 in each shard)."""
-    rows = cut(_dims(docs).withColumn("node", F.lit(0)))
-    nodes = {0: (shards, 0)}
-    while any(n > 1 for n, _ in nodes.values()):
-        stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.min(F.element_at("dims", i + 1)).alias(f"lo{i}") for i in range(3)], *[F.max(F.element_at("dims", i + 1)).alias(f"hi{i}") for i in range(3)]).collect()
-        plans = {}
-        for r in stats:
-            leaves, _ = nodes[r["node"]]
-            if leaves > 1:
-                widest = max(range(3), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i))  # noqa: B023
-                plans[r["node"]] = (widest, r["bytes"] * (leaves // 2) / leaves)
-        if not plans:
-            break
-        cuts = _medians(rows, plans)
-        spark = rows.sparkSession
-        table, after = [], {}
-        for n, (leaves, first) in nodes.items():
-            if n not in plans:
-                after[2 * n] = (leaves, first)
-                table.append((n, 0, 1 << KEY_BITS))
-                continue
-            half = leaves // 2
-            after[2 * n], after[2 * n + 1] = (half, first), (leaves - half, first + half)
-            table.append((n, plans[n][0], cuts[n]))
-        split = F.broadcast(spark.createDataFrame(table, "node int, dim int, cut long"))
-        key = F.shiftleft(F.element_at("dims", F.col("dim") + 1), TIE_BITS) + F.col("tie")
-        goes = F.when(key < F.col("cut"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
-        rows = cut(rows.join(split, "node").withColumn("node", goes.cast("int")).drop("dim", "cut"))
-        nodes = after
-    names = rows.sparkSession.createDataFrame([(n, first) for n, (_, first) in nodes.items()], "node int, shard int")
-    placed = rows.join(F.broadcast(names), "node").drop("node", "dims")
-    return _slots(placed, shards)
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.lit(shards).cast("long").alias("leaves"), F.lit(0).cast("long").alias("shard"))
+    for _ in range(math.ceil(math.log2(shards))):
+        cuts = F.broadcast(cut(_cuts(rows, cut(_plan(rows, nodes)))))
+        right = (F.col("first").isNotNull() & (_key(F.col("dim")) >= F.col("first"))).cast("long")
+        rows = rows.join(cuts, "node", "left").withColumn("node", F.col("node") * 2 + right).drop("dim", "first")
+        half = F.floor(F.col("leaves") / 2)
+        side = lambda n, leaves, first: F.struct(n.alias("node"), leaves.alias("leaves"), first.alias("shard"))
+        both = F.array(side(F.col("node") * 2, half, F.col("shard")), side(F.col("node") * 2 + 1, F.col("leaves") - half, F.col("shard") + half))
+        one = F.array(side(F.col("node") * 2, F.col("leaves"), F.col("shard")))
+        nodes = nodes.select(F.explode(F.when(F.col("leaves") > 1, both).otherwise(one)).alias("x")).select("x.*")
+    placed = rows.join(F.broadcast(nodes.select("node", F.col("shard").cast("int").alias("shard"))), "node").drop("node", "dims")
+    return _slots(cut(placed), shards)
 
 
 def _slots(placed: DataFrame, shards: int) -> DataFrame:
