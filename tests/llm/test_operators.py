@@ -121,6 +121,23 @@ def test_fm_index_by_brute_force():
             assert {p for a, b in spans for p in range(a, b)} == hit and found == sorted(names)
 
 
+def test_a_large_block_of_windows_is_small():
+    """A benchmark of 4 MB: what is broadcast, and the peak while it is built, for each byte of text."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choices(words, k=700)).encode()) for i in range(1000)]
+    text = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    w = decontaminate.Windows(iter(items))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.lengths) > 600_000
+    assert len(pickle.dumps(w)) < 6 * text and peak < 60 * text
+
+
 def test_blocks_of_benchmark_agree(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = rows_of(decontaminate.find_contamination(docs, bench))
@@ -212,22 +229,108 @@ def test_substrings_awkward(spark):
 # sharding
 
 
+def kd_model(docs, shards):
+    """(doc_id, text) -> shard by sorting each node whole; docs has doc_id, text, lang, source."""
+    import xxhash
+
+    h = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    long = lambda x, seed: xxhash.xxh64_intdigest((x % 2**64).to_bytes(8, "little"), seed)
+    rows = []
+    for d, t, lang, source in docs:
+        size = len((t or "").encode()) + 1
+        name = lambda x: 0 if x is None else 1 + signed(h(x)) % 4095
+        rows.append({"id": d, "text": t, "size": size, "key": signed(h(t or "")), "bins": [name(lang), name(source), min(4095, int(math.floor(math.log2(size) * 64)))]})
+    total = sum(r["size"] for r in rows)
+    together = max(max(r["size"] for r in rows), total / shards / 20)
+    for i in range(3):
+        by = defaultdict(int)
+        for r in rows:
+            by[r["bins"][i]] += r["size"]
+        upto, place = 0, {}
+        for b in sorted(by):
+            upto += by[b]
+            place[b] = math.floor((upto - by[b] / 2) / total * 4095)
+        for r in rows:
+            r.setdefault("dims", []).append(place[r["bins"][i]])
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["key"]].append(r)
+    for own in groups.values():
+        least, apart = [min(r["dims"][i] for r in own) for i in range(3)], sum(r["size"] for r in own) > together
+        for r in own:
+            r["least"] = least
+            seed = 42 if r["id"] is None else long(r["id"], 42)
+            r["tie"] = ((r["key"] % 2**24) << 16) + (signed(long(r["key"], seed)) % 65536 if apart else 0)
+    out = []
+
+    def split(own, leaves, first):
+        if leaves == 1 or not own:
+            out.extend((r["id"], r["text"], first) for r in own)
+            return
+        width = [max(r["least"][i] for r in own) - min(r["least"][i] for r in own) for i in range(3)]
+        dim = width.index(max(width))
+        blocks = defaultdict(list)
+        for r in own:
+            blocks[r["least"][dim], r["tie"]].append(r)
+        want, left, sides = sum(r["size"] for r in own) * (leaves // 2) / leaves, 0, ([], [])
+        done = False
+        for key in sorted(blocks):
+            size = sum(r["size"] for r in blocks[key])
+            goes_left = not done and (left + size <= want or left + size / 2 <= want)
+            done = done or left + size > want
+            left += size
+            sides[0 if goes_left else 1].extend(blocks[key])
+        split(sides[0], leaves // 2, first)
+        split(sides[1], leaves - leaves // 2, first + leaves // 2)
+
+    split(rows, shards, 0)
+    return sorted(out, key=repr), together
+
+
 def test_shards(spark, sf):
-    for df, shards in ((spark.read.parquet(f"{sf}/documents.parquet"), 16), (awkward(spark), 3), (docs_of(spark, ["a"]), 16)):
+    rng = random.Random(6)
+    made = [(i, "x" * int(math.exp(rng.uniform(0, 7))) + (str(i) if rng.random() < 0.7 else ""), rng.choice(["en", "en", "de", None]), f"s{rng.randrange(9)}") for i in range(600)]
+    made += [(1000 + i, "one hot text " * 9, "en", "s1") for i in range(200)] + [(None, None, None, None), (2, "", "en", "s0"), (2, "", "en", "s0")]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for docs, shards in ((made, 16), (made, 5), ([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in table.collect()], 16), ([(1, "a", "en", "s")], 16)):
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
         rows = sharding.shard_by_kd_tree(df, shards).collect()
-        assert len(rows) == df.count()
-        size, slots = defaultdict(int), defaultdict(list)
+        want, together = kd_model(docs, shards)
+        assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in rows if r["doc_id"] is not None) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), s) for d, t, s in want if d is not None)
+        assert len(rows) == len(docs)
+        size, slots, of_text = defaultdict(int), defaultdict(list), defaultdict(lambda: [0, set()])
         for r in rows:
             size[r["shard"]] += r["size"]
             slots[r["shard"]].append(r["slot"])
+            of_text[r["text_crc32"]][0] += r["size"]
+            of_text[r["text_crc32"]][1].add(r["shard"])
         assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-        assert all(0 <= s < shards for s in size)
-        most = max(r["size"] for r in rows)
-        mean = sum(size.values()) / shards
-        assert all(abs(size[s] - mean) <= 2 * most for s in range(shards))
-    by_id = {(r["doc_id"], r["size"]): r["text_crc32"] for r in rows}
-    assert by_id == {(1, 2): zlib.crc32(b"a")}
-    assert sharding.shard_by_kd_tree(docs_of(spark, ["a"]).limit(0)).count() == 0
+        assert all(len(where) == 1 for b, where in of_text.values() if b <= together)
+        # a cut misses the median by half a block at most, and a leaf's share of that halves with each level above
+        assert all(abs(size[s] - sum(size.values()) / shards) <= together for s in range(shards))
+
+
+def test_shards_by_target_bytes(spark):
+    df = docs_of(spark, [f"{i:09d}" for i in range(1000)])  # ten bytes each
+    sizes = [r["b"] for r in sharding.shard_by_kd_tree(df, target_bytes=1000).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 10 and all(990 <= b <= 1010 for b in sizes)
+    with pytest.raises(ValueError, match="over"):
+        sharding.shard_by_kd_tree(df, shards=sharding.MOST_LEAVES + 1)
+
+
+def test_widest_dimension_can_be_size(spark):
+    """With one language and one source, size is the only dimension that can part documents."""
+    df = spark.createDataFrame([(i, "x" * i, "en", "s") for i in range(1, 400)], "doc_id long, text string, lang string, source string")
+    rows = sharding.shard_by_kd_tree(df, 4).collect()
+    spans = sorted((min(x), max(x)) for x in [[r["size"] for r in rows if r["shard"] == s] for s in range(4)])
+    assert all(a[1] <= b[0] + 20 for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_shards_awkward(spark):
+    df = awkward(spark)
+    assert sharding.shard_by_kd_tree(df, 3).count() == df.count()
+    assert sharding.shard_by_kd_tree(df.limit(0)).count() == 0
 
 
 # secrets

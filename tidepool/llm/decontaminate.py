@@ -9,9 +9,10 @@ sampled every 32 words and at every sequence's start. All windows are searched
 backward at once; occurrences are located by walking to a sampled position.
 Occurrences become word spans, merged per document.
 
-The windows are broadcast in blocks: the benchmark's bytes are counted first,
-and one of over ``block_mb`` is cut into blocks by a hash of its items, each
-searched over all documents in a pass of its own; spans of all passes are merged.
+The windows are broadcast in blocks, as flat arrays: the benchmark's bytes are
+counted first, and one of over ``block_mb`` is cut into blocks by a hash of its
+items, each searched over all documents in a pass of its own, with an index of
+its own words; spans of all passes are merged.
 
 Defined results: a null text has no words, so an item of none has no window. A
 window that stands in several items counts for each. Items without id have none.
@@ -22,7 +23,7 @@ ignored elsewhere. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +45,61 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of items: a vocabulary, windows as rows of word numbers, and their items."""
+    """The distinct windows of items, in flat arrays: a vocabulary, the items' word numbers, each window's place and length in them, and its items.
 
-    def __init__(self, items: list[tuple[int | None, bytes]], size: int = WINDOW):
+    The vocabulary is a dict, so a block costs its distinct words there and about 40 bytes for each word otherwise.
+    """
+
+    def __init__(self, items: Iterable[tuple[int | None, bytes]], size: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        at: dict[tuple[int, ...], set[int]] = {}
+        own, ids = [], []
         for item, text in items:
-            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                at.setdefault(tuple(w[i : i + size]), set()).update(() if item is None else (item,))
-        self.lengths = np.array([len(x) for x in at], np.int64)
-        self.rows = np.zeros((len(at), size), np.int64)  # right-aligned: column -1 is a window's last word
-        for i, x in enumerate(at):
-            self.rows[i, size - len(x) :] = x
-        self.items = [sorted(x) for x in at.values()]
+            w = words_of(text)
+            if w:
+                own.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32))
+                ids.append(item)
+        self.size = size
+        self.seq = np.concatenate(own) if own else np.empty(0, np.int32)
+        n = np.array([len(x) for x in own], np.int64)
+        many = np.maximum(1, n - size + 1)
+        item = np.repeat(np.arange(len(own)), many)
+        start = np.repeat(np.cumsum(n) - n, many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.repeat(np.minimum(n, size), many)
+        # windows of equal words are one: named by two hashes of their words
+        names = np.zeros((2, len(item)), np.uint64)
+        for j in range(size):
+            there = j < length
+            word = np.where(there, self.seq[np.minimum(start + j, len(self.seq) - 1)], 0).astype(np.uint64) if len(item) else names[0]
+            for h, base in zip(names, _BASES, strict=True):
+                h *= base
+                h += (word + np.uint64(1)) * _MIX
+                h ^= h >> np.uint64(29)
+        order = np.lexsort((item, names[1], names[0], length))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(names[:, order].astype(np.uint64), axis=1) != 0).any(0) | (np.diff(length[order]) != 0)
+        first = np.flatnonzero(new)
+        self.starts, self.lengths = start[order[first]].astype(np.int32), length[order[first]].astype(np.int8)
+        # the items of window k, without those that have no id: ids[ends[k - 1] : ends[k]]
+        name = np.array([-1 if x is None else 0 for x in ids], np.int64)
+        real = np.array([x or 0 for x in ids], np.int64)
+        of = item[order]
+        fresh = new | np.append(True, np.diff(of) != 0)[: len(of)]
+        fresh &= name[of] == 0 if len(of) else fresh
+        self.ids = real[of[fresh]] if len(of) else real
+        window = np.cumsum(new) - 1
+        self.ends = np.cumsum(np.bincount(window[fresh], minlength=len(first))) if len(of) else np.empty(0, np.int64)
         self.least = int(self.lengths.min(initial=size))
 
+    def word(self, windows: np.ndarray, back: int) -> np.ndarray:
+        """The word that stands ``back`` places before the end of each window."""
+        return self.seq[self.starts[windows] + self.lengths[windows] - back].astype(np.int64)
+
+    def items_of(self, window: int) -> list[int]:
+        return self.ids[self.ends[window - 1] if window else 0 : self.ends[window]].tolist()
+
+
+_BASES, _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0xD6E8FEB86659FD93)
+
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
     """Suffix order of a sequence in which each 0 ends a suffix and ranks below all, zeros by place.
@@ -145,17 +185,19 @@ class FmIndex:
         self.samples = sa[self.marked]
         self.marks = np.concatenate([[0], np.cumsum(self.marked)])
 
-    def search(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix range [lo, hi) of each right-aligned pattern."""
-        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), self.n, np.int64)
-        for step in range(1, rows.shape[1] + 1):
-            live = np.flatnonzero((lengths >= step) & (lo < hi))
-            if not len(live):
-                break
-            c = rows[live, -step]
-            lo[live] = self.before[c] + self.tree.rank(c, lo[live])
-            hi[live] = self.before[c] + self.tree.rank(c, hi[live])
-        return lo, hi
+    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix range [lo, hi) of each window."""
+        n = len(windows.lengths)
+        lo, hi = np.zeros(n, np.int32), np.full(n, self.n, np.int32)
+        live = np.arange(n)
+        for step in range(1, windows.size + 1):
+            live = live[(windows.lengths[live] >= step) & (lo[live] < hi[live])]
+            for at in range(0, len(live), 1 << 18):  # in bounded runs
+                part = live[at : at + (1 << 18)]
+                c = windows.word(part, step)
+                lo[part] = self.before[c] + self.tree.rank(c, lo[part])
+                hi[part] = self.before[c] + self.tree.rank(c, hi[part])
+        return lo.astype(np.int64), hi.astype(np.int64)
 
     def locate(self, slots: np.ndarray) -> np.ndarray:
         """Places of suffixes: steps back to a sampled one; a part's start is sampled, so no walk leaves its part."""
@@ -187,7 +229,7 @@ def search_shard(ids: list[np.ndarray], windows: Windows) -> list[tuple[list[tup
         seq = np.concatenate(parts).astype(np.int64)
         index = FmIndex(seq, len(windows.vocab))
         begins = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        lo, hi = index.search(windows.rows, windows.lengths)
+        lo, hi = index.search(windows)
         n = hi - lo
         which = np.repeat(np.arange(len(n)), np.maximum(n, 0))
         slots = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
@@ -196,9 +238,9 @@ def search_shard(ids: list[np.ndarray], windows: Windows) -> list[tuple[list[tup
             part = np.searchsorted(begins, place, side="right") - 1
             doc = np.asarray(docs)[part]
             start = place - begins[part] + np.asarray(offsets)[part]
-            end = start + windows.lengths[w]
+            end = start + windows.lengths[w].astype(np.int64)
             for d, k in np.unique(np.stack([doc, w], 1), axis=0).tolist():
-                items[d].update(windows.items[k])
+                items[d].update(windows.items_of(k))
             order = np.lexsort((start, doc))
             for d, s, e in zip(doc[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
                 own = spans[d]
@@ -223,7 +265,7 @@ FOUND = "doc_id long, row_key long, n_words long, spans array<struct<start:long,
 
 
 def _pass(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    rows = [(r["item_id"], (r["text"] or "").encode()) for r in items.select("item_id", "text").toLocalIterator()]
+    rows = ((r["item_id"], (r["text"] or "").encode()) for r in items.select("item_id", "text").toLocalIterator())
     shared = docs.sparkSession.sparkContext.broadcast(Windows(rows, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +295,7 @@ def _pass(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, FOUND)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_mb: int = 32) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_mb: int = 16) -> DataFrame:
     """doc_id, row_key, n_words, spans (merged, in words), items: one row a document."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-int(total) // (block_mb << 20)))
