@@ -665,6 +665,23 @@ def test_role_repair(spark):
         assert re.findall(r"t\d+", text) == [f"t{i}" for i in range(len(roles)) if i % 3]
 
 
+@pytest.mark.parametrize("segment", [1, 4, 256])
+def test_many_turns_of_one_number(spark, segment):
+    """One conversation whose turns share few numbers, or none, is cut into segments all the same, and its places have no gaps."""
+    rng = random.Random(segment)
+    rows = [(None, rng.choice([None, 3, 4]), rng.choice(["user", "assistant", None]), f"t{i:03d}") for i in range(120)] + [(1, 7, "user", f"u{i:02d}") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.repair_chats(df, segment).collect()
+    by_turn = defaultdict(list)
+    for r in got:
+        by_turn[r["conv_id"], r["turn"]].append(r["place"])
+    assert len(got) == 150 and all(sorted(x) == list(range(len(x))) for x in by_turn.values())
+    want = sorted(rows[:120], key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+    own = sorted((r for r in got if r["conv_id"] is None), key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["place"]))
+    assert re.findall(r"t\d+", "".join(r["fragment"] for r in own)) == [r[3] for r in want]
+    assert {r["total_cost"] for r in own} == {sum(r["cost"] for r in own)} == {cheapest(tuple(r[2] for r in want))}
+
+
 def test_chat_awkward(spark):
     rows = [(None, 0, "user", "a"), (1, None, None, None), (1, 5, "user", "x"), (1, 5, "user", "x"), (2, -3, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seg", F.lit("clash")).withColumn("total", F.lit(1))

@@ -9,9 +9,11 @@ differ); before it and at the end, empty messages can be inserted (3 each).
 
 The cheapest repair is a shortest path. As costs depend on roles alone, a
 segment of turns is a 4 x 4 min-plus matrix, so a very long conversation is
-repaired in parallel: segments of ``segment`` turn numbers are multiplied up on
-their own, the few matrices of a conversation are chained to fix the state at
-each segment's ends, and each segment then traces its own path.
+repaired in parallel: the turns are range-partitioned in their order and numbered
+there, so a segment is at most ``segment`` rows in a row, whatever their turn
+numbers. Segments are multiplied up on their own, the matrices of a conversation,
+one for each of its segments, are chained in one task to fix the state at each
+segment's ends, and each segment then traces its own path.
 
 Result: a row a turn, with the rendered fragment; fragments in order of turn and
 ``place`` are the rendered conversation.
@@ -32,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import cut
+
 ROLES = ("system", "user", "assistant")
 RELABEL, UNKNOWN, MERGE, INSERT = 2, 1, 1, 3
 FAR = 1 << 40
@@ -127,16 +131,21 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = MATRIX[role_number(turns[0][0])]
             for t in turns[1:]:
                 m = times(m, MATRIX[role_number(t[0])])
-            yield conv, seg, m.ravel().tolist()
+            first, last = turns[0][1], turns[-1][1]
+            yield conv, seg, m.ravel().tolist(), first, last, len(turns), sum(1 for t in turns if t[1] == last)
 
-    yield from _in_batches(rows(), [("conv_id", pa.int64()), ("seg", pa.int64()), ("m", pa.list_(pa.int64()))])
+    yield from _in_batches(rows(), [("conv_id", pa.int64()), ("seg", pa.int64()), ("m", pa.list_(pa.int64())), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("n_last", pa.int64())])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for (conv,), segs in _groups(batches, 1):
             cost = [np.array([0, FAR, FAR, FAR])]
-            ms = [np.array(m).reshape(4, 4) for _, m in segs]
+            ms = [np.array(s[1]).reshape(4, 4) for s in segs]
+            before, held, held_turn = [], 0, object()  # rows of a segment's first turn that stand in segments before it
+            for _, _, first, last, n, n_last in segs:
+                before.append(held if first == held_turn else 0)
+                held, held_turn = (before[-1] + n if first == last else n_last), last
             for m in ms:
                 cost.append(np.minimum((cost[-1][:, None] + m).min(0), FAR))
             at = min(range(1, 4), key=lambda s: (cost[-1][s] + END[s][0], -s))
@@ -144,11 +153,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for k in reversed(range(len(segs))):
                 s = min(range(4), key=lambda s: (cost[k][s] + ms[k][s, at], s))  # noqa: B023
-                out.append((conv, segs[k][0], s, at, k == len(segs) - 1, total))
+                out.append((conv, segs[k][0], s, at, k == len(segs) - 1, total, before[k]))
                 at = s
             yield from reversed(out)
 
-    yield from _in_batches(rows(), [("conv_id", pa.int64()), ("seg", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("total", pa.int64())])
+    yield from _in_batches(rows(), [("conv_id", pa.int64()), ("seg", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("total", pa.int64()), ("before", pa.int64())])
 
 
 def _render(inserted: tuple[str, ...], opened: str | None, text: str, mid: int) -> str:
@@ -168,8 +177,8 @@ ROW = [("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("r
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for (conv, _), turns in _groups(batches, 2):
-            enter, leave, last, total = turns[0][3:]
-            mid, seen = enter, {}
+            enter, leave, last, total, before = turns[0][3:]
+            mid, seen = enter, {turns[0][1]: before - 1}
             for k, ((role, turn, text, *_), (cost, action, inserted, after)) in enumerate(zip(turns, path([role_number(t[0]) for t in turns], enter, leave), strict=True)):
                 fragment = _render(inserted, None if action == "merge" else ROLES[after - 1], text or "", mid)
                 end = ()
@@ -185,12 +194,14 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repair_chats(conversations: DataFrame, segment: int = 256) -> DataFrame:
     """One row a turn: conv_id, turn, place, role_in, role, action, inserted (before, then after a last comma), cost, total_cost, fragment."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.col("turn") / segment).cast("long").alias("seg"), F.col("role").cast("string").alias("role"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
-    order = ["conv_id", "seg", "turn", "role", "text"]
-    dealt = turns.repartition("conv_id", "seg").sortWithinPartitions(*order)
-    matrices = dealt.select("conv_id", "seg", "role").mapInArrow(_matrices, "conv_id long, seg long, m array<long>")
-    ends = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_chain, "conv_id long, seg long, enter int, leave int, last boolean, total long")
+    turns = conversations.select(*[F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")], *[F.col(c).cast("string").alias(c) for c in ("role", "text")])
+    order = ["conv_id", "turn", "role", "text"]
+    sorted_turns = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the numbers of a partition's rows follow each other, and partitions follow each other in order
+    turns = cut(sorted_turns.withColumn("row", F.monotonically_increasing_id()).withColumn("seg", F.floor(F.col("row") / segment)))
+    matrices = turns.select("conv_id", "seg", "role", "turn").mapInArrow(_matrices, "conv_id long, seg long, m array<long>, first long, last long, n long, n_last long")
+    ends = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_chain, "conv_id long, seg long, enter int, leave int, last boolean, total long, before long")
     e = ends.withColumnsRenamed({"conv_id": "c", "seg": "s"})
     joined = turns.join(e, turns["conv_id"].eqNullSafe(e["c"]) & turns["seg"].eqNullSafe(e["s"])).drop("c", "s")
-    placed = joined.repartition("conv_id", "seg").sortWithinPartitions(*order)
-    return placed.select("conv_id", "seg", "role", "turn", "text", "enter", "leave", "last", "total").mapInArrow(_repair, "conv_id long, turn long, place int, role_in string, role string, action string, inserted string, cost long, total_cost long, fragment string")
+    placed = joined.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "row")
+    return placed.select("conv_id", "seg", "role", "turn", "text", "enter", "leave", "last", "total", "before").mapInArrow(_repair, "conv_id long, turn long, place int, role_in string, role string, action string, inserted string, cost long, total_cost long, fragment string")
