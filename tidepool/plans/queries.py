@@ -301,10 +301,16 @@ def context_assemble(spark, sf):
     return conversation.assemble(rows, ("conv_id",))
 
 
+def _stores(spark, sf):
+    """What an ingestion would have stored, as far as the search needs it."""
+    small, medium = embedded_chunks(_pages(spark, sf))
+    return cut(small.select(*retrieval.SMALL)), cut(medium.select(*retrieval.MEDIUM))
+
+
 def three_stage(spark, sf):
     """R5, R9, §3.2: all questions over chunks of whole documents, with the first two rows selected."""
     embed = get_embedding("hashing")
-    small, medium = (cut(c) for c in embedded_chunks(_pages(spark, sf)))  # as stores
+    small, medium = _stores(spark, sf)
     b = _table(spark, sf, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("num_query"), tx.clean_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("embedding"))
     return _longs(retrieval.retrieve(small, medium, cut(q)).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
@@ -348,7 +354,7 @@ def hashed_embedding(spark, sf):
 
 def answered_turns(spark, sf):
     """Whole turns over all documents with the stub model: each conversation's last turn is its input, those before it its history."""
-    small, medium = (cut(c) for c in embedded_chunks(_pages(spark, sf)))
+    small, medium = _stores(spark, sf)
     c = _table(spark, sf, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("text"))
     asked = last.select("conv_id", F.concat(F.lit("Human: "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " ")).alias("question"))
