@@ -1,0 +1,224 @@
+"""Byte-pair codes, ranked search and whitening against brute force, and on awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.test_operators import awkward
+from tidepool.llm import bpe, queries, ranked_search, whitening
+
+# byte-pair encoding
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def test_query_equals_the_library(spark, sf, library):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = []
+    for d, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = queries.QUERIES["op11_bpe"](spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_token_crosses_a_cut(library):
+    e = bpe.Encoder(queries.tokenizer_path())
+    letters = sorted({c for t in library.get_vocab() if "<|" not in t for c in t.removesuffix("</w>")})
+    random.seed(5)
+    words = ["".join(random.choice(letters) for _ in range(random.randint(1, 9))) for _ in range(120)]
+    vocab = [t for t in library.get_vocab() if "<|" not in t]
+    word, place = e.cuts(words)
+    assert len(word) > 100
+    for w, p in zip(word.tolist(), place.tolist(), strict=True):
+        pair = words[w][p - 1 : p + 1]
+        if p == len(words[w]) - 1:
+            assert not any(t.endswith(pair + "</w>") for t in vocab)
+        else:
+            assert not any(pair in t for t in vocab if not t.endswith("</w>"))
+
+
+def test_ids_of_any_text(library):
+    e = bpe.Encoder(queries.tokenizer_path())
+    random.seed(6)
+    pool = ["a", "b", "th", "e", " ", "\n", "\t", "\x1c", "\x85", "'s", "'RE", "1", "23", "é", "é", "ß", "İ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<", "😀", "…", " ", "́", "Ω", "ﬁ", "—", "``", "!!", "中", "文", "\0", "ab"]
+    texts = ["".join(random.choice(pool) for _ in range(random.randint(0, 14))) for _ in range(4000)]
+    texts += ["".join(chr(i) + "a " * (i % 3) for i in range(lo, lo + 256) if not 0xD800 <= i < 0xE000) for lo in range(0, 0x30000, 256)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    assert [e.encode([t])[0].tolist() for t in texts[:500]] == want[:500]
+
+
+def test_memory_starts_anew(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_IDS", 40)
+    e = bpe.Encoder(queries.tokenizer_path())
+    for _ in range(2):
+        for t in ("one two three four five six seven", "x" * 200 + " <|endoftext|>", "", "ten eleven"):
+            assert e.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert e.used < 400
+
+
+def test_a_long_text_without_a_space(library):
+    text = "ab1€" * 400_000 + "thethe" * 100_000
+    assert bpe.Encoder(queries.tokenizer_path()).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_awkward(spark, library):
+    path = queries.tokenizer_path()
+    df = awkward(spark).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
+    out = bpe.decode(bpe.encode(df, path), path)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == df.count()
+    for r in out.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False) and r["key"] == "clash"
+    assert bpe.encode(df.limit(0), path).count() == 0
+    odd = spark.createDataFrame([(1, [1, 10**6, 5, 49407]), (2, None), (3, [])], "k int, ids array<int>")
+    assert {r["k"]: r["decoded"] for r in bpe.decode(odd, path).collect()} == {1: library.decode([1, 10**6, 5, 49407], skip_special_tokens=False), 2: "", 3: ""}
+    with pytest.raises(ValueError):
+        bpe.Encoder(path.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
+# ranked search
+
+
+def ranks_model(docs, items, k):
+    term = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: term.findall((t or "").translate(lower))
+    texts = [(d, split(t)) for d, t in docs]
+    texts = [x for x in texts if x[1]]
+    n, length = len(texts), sum(len(w) for _, w in texts)
+    df = Counter(t for _, w in texts for t in set(w))
+    asked = defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            asked[i].update(split(t))
+    out = []
+    for i, terms in asked.items():
+        scored = []
+        for d, w in texts:
+            tf, m = Counter(w), 10 + (90 * len(w) * n) // length
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * tf[t]) // (1000 * tf[t] + 8 * m)) for t in terms if t in tf)
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        out += [(i, r, d, -s) for r, (s, _, _, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, 200_000), (2, 0)])
+def test_ranks_by_brute_force(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(ranked_search, "BROADCAST_ROWS", small)
+    random.seed(seed)
+    vocab = [f"w{i}" for i in range(60)] + ["É", "é", "A1", "x_y", "the"]
+    text = lambda n: random.choice([" ", ", "]).join(random.choice(vocab[: random.choice([5, 20, 65])]) for _ in range(n))
+    docs = [(i, text(random.choice([0, 1, 3, 30, 200]))) for i in range(120)]
+    docs += [(500 + i, docs[7][1] or "w1 w2") for i in range(30)]  # copies tie
+    items = [(i, text(random.choice([0, 1, 2, 12, 40]))) for i in range(25)] + [(99, "nowhere"), (3, "w1"), (None, "w1")]
+    got = ranked_search.top_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=10)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect())) == ranks_model(docs, items, 10)
+
+
+def test_terms(spark):
+    df = spark.createDataFrame([(1, "Ab-aB\tÉ é_x1 \x7f@[`{ İ"), (2, None), (3, "..."), (4, "a " * 3)], "id long, text string")
+    rows = [tuple(r)[1:] for r in ranked_search.term_rows(df, "id").collect()]
+    assert sorted((i, n, t, f) for i, n, t, f in rows if not t.startswith("\0")) == sorted([(1, 6, "ab", 2), (1, 6, "É", 1), (1, 6, "é", 1), (1, 6, "x1", 1), (1, 6, "İ", 1), (4, 3, "a", 3)])
+    assert sorted((i, n) for i, n, t, _ in rows if t.startswith("\0")) == [(1, 6), (4, 3)]
+
+
+def test_ranks_awkward(spark):
+    df = awkward(spark)
+    items = spark.createDataFrame([(1, "a line that several", 0), (1, "other", 0), (2, None, 0), (3, "z" * 70_000, 0), (None, "line", 0)], "item_id long, text string, t int").withColumn("row", F.lit("clash"))
+    got = sorted(map(tuple, ranked_search.top_documents(df, items).collect()))
+    assert got == ranks_model([(r["doc_id"], r["text"]) for r in df.collect()], [(r["item_id"], r["text"]) for r in items.collect()], 10) and got
+    assert ranked_search.top_documents(df.limit(0), items).count() == 0
+    assert ranked_search.top_documents(df, items.limit(0)).count() == 0
+
+
+def test_a_long_text_is_ranked(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(1_500_000))
+    docs, items = [(1, text), (2, "w1 w2 w3"), (3, "v1")], [(1, "w1 w2 v1")]
+    got = ranked_search.top_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == ranks_model(docs, items, 10)
+
+
+# whitening
+
+
+def test_double_double_sums_are_exact():
+    rng = np.random.default_rng(1)
+    for top in (3, 2**20, 2**40, 2**61):
+        y = rng.integers(-top, top, (50, 3))
+        high, low = whitening.outer_sums(y)
+        for i in range(3):
+            for j in range(3):
+                exact = sum(int(r[i]) * int(r[j]) for r in y)
+                assert abs(Fraction(high[i, j]) + Fraction(low[i, j]) - exact) <= abs(exact) * Fraction(2) ** -98
+    # a sum in doubles would lose the small part
+    high, low = whitening.outer_sums(np.array([[2**30, 1], [1, 1], [2**30, -1]]))
+    assert Fraction(high[0, 0]) + Fraction(low[0, 0]) == 2**61 + 1
+
+
+def whitening_check(rows, got, k=4):
+    """rows: (id, vector or None); got: collected rows of whiten."""
+    ok = [(i, [math.floor(256 * float(c)) for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({tuple(x) for _, x in ok})
+    n, d = len(fit), len(fit[0])
+    s = [sum(x[i] for x in fit) for i in range(d)]
+    y = [[n * x[i] - s[i] for i in range(d)] for x in fit]
+    v = np.array([[float(Fraction(sum(r[i] * r[j] for r in y), n**3)) for j in range(d)] for i in range(d)])
+    e, u = np.linalg.eigh(v)
+    order = np.argsort(-e)[:k]
+    assert Counter((r["vec_id"], r["component"]) for r in got) == Counter((i, c) for i, _ in ok for c in range(1, len(order) + 1))
+    by = defaultdict(list)
+    for r in got:
+        by[r["vec_id"], r["component"]].append(r)
+        assert r["n"] == n and r["identity_error"] < 1e-9
+    for c, o in enumerate(order, 1):
+        signs = set()
+        for i, x in ok:
+            own = [n * a - b for a, b in zip(x, s, strict=True)]
+            want = sum(a / n * b for a, b in zip(own, u[:, o], strict=True)) / math.sqrt(e[o])
+            r = by[i, c][0]
+            assert r["deviation"] == sum(a * a for a in own)
+            assert abs(abs(r["whitened"]) - abs(want)) < 1e-7
+            assert abs(r["explained"] / (e[o] / np.trace(v)) - 1) < 1e-9
+            if abs(want) > 1e-3:
+                signs.add(r["whitened"] * want > 0)
+        assert len(signs) <= 1
+
+
+def test_whitening_by_brute_force(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    whitening_check(rows, queries.QUERIES["op13_whitening"](spark, sf).collect())
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_whitening_awkward(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(whitening, "FAN_IN", fan_in)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5) * [9, 5, 2, 1, 0.5] + 1000]) for i in range(200)]
+    rows += [(1, rows[1][1]), (1, rows[1][1]), *[(900, rows[5][1])] * 100, (901, None), (902, [1.0, None, 1.0, 1.0, 1.0]), (903, [math.nan] * 5), (904, [math.inf] * 5), (905, []), (None, rows[9][1])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, x string").repartition(7)
+    whitening_check(rows, whitening.whiten(df).collect())
+    longer = df.unionByName(spark.createDataFrame([(77, [1.0, 2.0], "a"), (78, [2.0, 1.0], "a")], df.schema))
+    assert whitening.whiten(longer).count() == whitening.whiten(df).count()
+    assert whitening.whiten(df.limit(0)).count() == 0
+    assert whitening.whiten(df.where("vec_id = 900")).count() == 0  # one vector has no spread
+    assert {r["component"] for r in whitening.whiten(df.where("vec_id in (3, 4)")).collect()} == {1}
+    with pytest.raises(Exception, match="62 bits|overflow"):
+        whitening.whiten(df.unionByName(spark.createDataFrame([(5, [1e300] * 5, "")], df.schema))).collect()
+

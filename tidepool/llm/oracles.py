@@ -67,4 +67,14 @@ _OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(fl
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
-SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op3_suffix_dedup": _OP3, "op5_secrets": _op5(), "op10_top_k": _OP10}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+sums AS (SELECT count(*) AS c, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) CROSS JOIN sums),
+impacts AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * c) // l))) AS impact FROM tf JOIN weights USING (term) CROSS JOIN sums),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INT) AS rank, doc_id, score FROM scored QUALIFY rank <= 10"""
+
+SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_decontaminate": _OP2, "op3_suffix_dedup": _OP3, "op5_secrets": _op5(), "op10_top_k": _OP10, "op12_ranked_search": _OP12}

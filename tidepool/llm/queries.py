@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, decontaminate, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, top_k, toxicity
+from tidepool.llm import bpe, chat, decontaminate, line_dedup, packing, ranked_search, secrets, sharding, simhash, suffix_dedup, top_k, toxicity, whitening
 from tidepool.llm.common import table
 
 
@@ -68,6 +68,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.exact_top_k(rows.where("vec_id % 50 = 0"), rows, k=5)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_suffix_dedup, op4_sharding, op5_secrets, op6_packing, op7_simhash, op8_chat, op9_toxicity, op10_top_k)
+    f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_suffix_dedup, op4_sharding, op5_secrets, op6_packing, op7_simhash, op8_chat, op9_toxicity, op10_top_k, op11_bpe, op12_ranked_search, op13_whitening)
 }
