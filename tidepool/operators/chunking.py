@@ -92,13 +92,15 @@ def add_windows(chunks: DataFrame, steps: int = 3, size: int = 18) -> DataFrame:
     return chunks.withColumn("win_lo", opened(oldest)).withColumn("win_hi", opened(i))
 
 
-def merge_chunks(chunks: DataFrame, scale: int = 3, parity: bool = False) -> DataFrame:
+def merge_chunks(chunks: DataFrame, scale: int = 3, parity: bool = False, by: Sequence[str] = ("source",)) -> DataFrame:
     """Every ``scale`` chunks made one, texts joined without a separator, numbers rolled up to bounds.
 
+    ``by`` names the source; a store that is bucketed by one of its columns is merged without a shuffle.
+
     win_lo and win_hi are the hull of the merged windows. With ``parity`` they are
     null where the merged chunks' own bounds differ. win_bounds has the whole roll-up.
     """
-    g = chunks.groupBy("source", F.floor(F.col("small_chunk_idx") / scale).cast("int").alias("medium_chunk_idx")).agg(
+    g = chunks.groupBy(*by, F.floor(F.col("small_chunk_idx") / scale).cast("int").alias("medium_chunk_idx")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("small_chunk_idx", "raw_text"))), lambda x: x["raw_text"]), "").alias("raw_text"),
         F.min("page").alias("page_lo"),
         F.max("page").alias("page_hi"),

@@ -15,11 +15,12 @@ from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
-from tidepool.operators import chunking, filters, search
+from tidepool.operators import chunking, filters, index, search
 from tidepool.plans import conversation, retrieval
-from tidepool.plans.ingest import embedded_chunks, ingest_folder
+from tidepool.plans.ingest import build_stores, ingest_folder
 from tidepool.providers import get_embedding
 from tidepool.sources.files import read_store
+from tidepool.sources.stores import spread, stored
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -161,23 +162,29 @@ def window_stab(spark, sf):
     return _longs(filters.in_windows(medium, centres).select("source_md5", "medium_chunk_idx", "win_lo", "win_hi"))
 
 
-def _bm25_docs(spark, sf):
-    """Tokens once, as a chunk store keeps them: the search reads them for several statistics."""
-    return cut(_table(spark, sf, "documents").select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens")))
-
-
 def _questions(spark, sf):
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tx.clean_tokens(F.col("text")).alias("tokens"))
 
 
+def _document_index(spark, sf, group=()):
+    """The inverted index of all documents, built once a session for the same files."""
+
+    def build(folder):
+        docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"), f"{sf}/documents.parquet")
+        docs = docs.select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens"))
+        return index.build(docs, folder, "doc_id", group)
+
+    return stored(spark, f"{sf}/documents.parquet", f"index-{'-'.join(group)}", build)
+
+
 def bm25_top3(spark, sf):
-    """R1, K1, J5, A11 over the whole table."""
-    return _longs(search.bm25_top_k(_bm25_docs(spark, sf), _questions(spark, sf), 3, id_col="doc_id").select("query_id", "rank", "doc_id", "score"))
+    """R1, K1, J5, A11 over the whole table, from the stored index."""
+    return _longs(index.search(_document_index(spark, sf), _questions(spark, sf), 3).select("query_id", "rank", "doc_id", "score"))
 
 
 def bm25_per_file(spark, sf):
     """R1, K3 with statistics of each source alone: every question is asked of every source."""
-    return _longs(search.bm25_top_k(_bm25_docs(spark, sf), _questions(spark, sf), 3, ["source"], "doc_id").select("source", "query_id", "rank", "doc_id", "score"))
+    return _longs(index.search(_document_index(spark, sf, ("source",)), _questions(spark, sf), 3).select("source", "query_id", "rank", "doc_id", "score"))
 
 
 def _vectors(spark, sf):
@@ -226,7 +233,7 @@ def rrf_dup_text(spark, sf):
 
 def select_last_per_source(spark, sf):
     """Of the first six rows of a question the selector names all; a file's last one counts."""
-    hits = search.bm25_top_k(_bm25_docs(spark, sf), _questions(spark, sf), 6, id_col="doc_id")
+    hits = index.search(_document_index(spark, sf), _questions(spark, sf), 6)
     d = _table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_md5"), "source", F.col("text").alias("raw_text"))
     stage1 = hits.join(d, "doc_id").select("query_id", "rank", "doc_id", "source_md5", "source", "raw_text")
     picked = retrieval.select_rows(stage1, stage1, lambda prompt: F.sequence(F.lit(0), F.lit(5)))
@@ -302,18 +309,17 @@ def context_assemble(spark, sf):
 
 
 def _stores(spark, sf):
-    """What an ingestion would have stored, as far as the search needs it."""
-    small, medium = embedded_chunks(_pages(spark, sf))
-    return cut(small.select(*retrieval.SMALL)), cut(medium.select(*retrieval.MEDIUM))
+    """The stores of all documents, built once a session for the same files."""
+    return stored(spark, f"{sf}/documents.parquet", "stores", lambda folder: build_stores(_pages(spark, sf), folder))
 
 
 def three_stage(spark, sf):
     """R5, R9, §3.2: all questions over chunks of whole documents, with the first two rows selected."""
     embed = get_embedding("hashing")
-    small, medium = _stores(spark, sf)
+    s = _stores(spark, sf)
     b = _table(spark, sf, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("num_query"), tx.clean_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("embedding"))
-    return _longs(retrieval.retrieve(small, medium, cut(q)).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
+    return _longs(retrieval.retrieve(s.small, s.medium, cut(q), lexical=s.lexical).select("query_id", "source_pos", "file_name", "medium_chunk_idx", "raw_md5", "rank"))
 
 
 def speaker_strip(spark, sf):
@@ -354,12 +360,12 @@ def hashed_embedding(spark, sf):
 
 def answered_turns(spark, sf):
     """Whole turns over all documents with the stub model: each conversation's last turn is its input, those before it its history."""
-    small, medium = _stores(spark, sf)
+    s = _stores(spark, sf)
     c = _table(spark, sf, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("text"))
     asked = last.select("conv_id", F.concat(F.lit("Human: "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " ")).alias("question"))
     turns = c.join(last.select("conv_id", "last"), "conv_id").where("turn < last").drop("last")
-    out = conversation.answer_turns(asked, turns, small, medium)
+    out = conversation.answer_turns(asked, turns, s.small, s.medium, lexical=s.lexical)
     return out.select("conv_id", F.array_join("questions", "|").alias("questions"), F.md5("context").alias("context_md5"), F.md5("answer").alias("answer_md5"))
 
 
