@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidepool.checkpoint import cut
 
 #: Rows of a block.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 512
 #: Tables that are counted to have at most so many rows are broadcast.
 BROADCAST_ROWS = 200_000
 _LISTS = "block long, token string, n long, most int, least int, total long, places array<int>, counts array<int>, lengths array<int>"

@@ -91,7 +91,7 @@ def vector_scores(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "do
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+            return pd.DataFrame({"query_id": left["query_id"].to_numpy()[:0], id_col: right[id_col].to_numpy()[:0], "score": np.empty(0)})
         s = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
         if file_col:
             s = np.where(left["file"].to_numpy(object)[:, None] == right["file"].to_numpy(object)[None, :], s, -np.inf)
