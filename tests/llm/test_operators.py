@@ -216,6 +216,19 @@ def test_long_text_in_parts(monkeypatch):
     assert sorted(covered) == list(range(len(text) - 49))
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_unlike_texts_of_one_id_keep_their_own_bytes(spark, monkeypatch, broadcast):
+    import xxhash
+
+    monkeypatch.setattr(suffix_dedup, "REPEATED_IDS", broadcast)
+    first = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(240))
+    bits = xxhash.xxh64_intdigest(first, seed=42) & 0xFFFF
+    other = next(t for i in itertools.count() if xxhash.xxh64_intdigest(t := f"{i} " + "".join(chr(65 + (j * j + 3 * j + i) % 26) for j in range(240)), seed=42) & 0xFFFF == bits)
+    rows = [(1, first), (2, first), (2, other), (2, other), (3, "short")]
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in got) == sorted([(1, 0, first), (2, 240, ""), (2, 0, other), (2, 0, other), (3, 0, "short")])
+
+
 def test_substrings_awkward(spark):
     df = awkward(spark)
     want = [(d, n, g, r, sha(k)) for d, n, g, r, k in span_model([(r["doc_id"], r["text"]) for r in df.where("doc_id <> 4 and doc_id <> 7 or doc_id is null").collect()], 50)]

@@ -30,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import cut, text_or_empty
+from tidepool.llm.common import cut, row_key
 
 SPAN, GRAM = 50, 16
+#: More doc_ids that repeat with unlike texts are not broadcast.
+REPEATED_IDS = 200_000
 #: Bytes that are hashed at once; a text's place in them fits 24 bits.
 BLOCK = 3 << 20
 #: A run's numbers in one long: start 34 bits, windows 7, offset of the anchor 6, text key 16.
@@ -417,12 +419,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out, strict=True), types, strict=True)], names=[n for n, _ in types])
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text: key numbers the unlike texts of one doc_id, told apart by 64 bits of hash; equal rows share it."""
+    hashed = docs.select("doc_id", row_key().alias("h"))
+    many = cut(hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id"))
+    repeated = many.count()
+    if not repeated:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("key"), "text")
+    hint = F.broadcast if repeated <= REPEATED_IDS else lambda df: df
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1
+    place = F.when(number > 0xFFFF, F.raise_error(F.lit("a doc_id has over 65,536 unlike texts")).cast("int")).otherwise(number)
+    keys = cut(hashed.join(hint(many), "doc_id").distinct().withColumn("key", place))
+    keys = F.broadcast(keys) if keys.count() <= REPEATED_IDS else keys
+    return docs.withColumn("h", row_key()).join(keys, ["doc_id", "h"], "left").select("doc_id", F.coalesce("key", F.lit(0)).cast("long").alias("key"), "text")
+
+
 def dedup_substrings(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed), kept (the bytes left): one row a document."""
     if not GRAM < span <= 64:
         raise ValueError("span must be over 16 and at most 64 bytes")
-    key = F.xxhash64(text_or_empty()).bitwiseAND(F.lit(0xFFFF)).alias("key")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text"))
+    own = _told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
     dealt = own.where("doc_id is not null").mapInArrow(_find_runs(span), RUN_DDL).repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id")
     found = cut(dealt.mapInArrow(_settle(span), FOUND_DDL))
 
