@@ -9,7 +9,7 @@ end a word are told apart from pairs within one.
 
 Documents are encoded where they lie: nothing is shuffled. A worker remembers
 the ids of space-separated chunks and of fragments, and starts anew beyond
-``packing.CACHE_WORDS`` of them or ``CACHE_IDS`` ids, so its memory is bounded.
+``CACHE_STRINGS`` of them or ``CACHE_IDS`` ids, so its memory is bounded.
 
 Defined results: a null or empty text has no ids, and null ids decode to the
 empty text. Special tokens that stand in a text get their own ids. Ids that the
@@ -36,8 +36,8 @@ from tidepool.llm.common import unused
 from tidepool.llm.packing import WordCache, has_known_rules
 
 END = "</w>"
-#: Ids that a worker remembers before it starts anew.
-CACHE_IDS = 16_000_000
+#: Chunks and fragments, and their ids, that a worker remembers before it starts anew.
+CACHE_STRINGS, CACHE_IDS = 500_000, 8_000_000
 #: The letters that stand for bytes have smaller code points.
 LETTERS = 1 << 9
 
@@ -86,8 +86,11 @@ class Encoder(WordCache):
         for t, i in self.special.items():
             self._store([self.known[None][t]], np.array([1]), np.array([i]))
 
+    def _strings(self) -> int:
+        return len(self.index) + sum(map(len, self.known.values()))
+
     def _room(self, ids: int) -> None:
-        while len(self.index) + sum(map(len, self.known.values())) > len(self.starts):
+        while self._strings() > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         super()._room(ids)
 
@@ -170,7 +173,7 @@ class Encoder(WordCache):
                 self._store([self.known[ends][t] for t in block], np.bincount(np.array(enc.word_ids, np.int64), minlength=len(block)), np.array(enc.ids, np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.used > CACHE_IDS:
+        if self.used > CACHE_IDS or self._strings() > CACHE_STRINGS:
             self._clear()
         return super().encode(texts)
 
