@@ -53,13 +53,16 @@ def _block(tokens: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray]]:
     return coded.dictionary.take(pa.array(code[starts])), cols
 
 
-def _indexer(groups: int, kinds: list[pa.DataType]):
-    """Batches of (group columns, key, tokens) to rows of lists, and one row without a token for each block, with its rows' keys."""
+def _indexer(groups: int, kinds: list[pa.DataType], first: int):
+    """Batches of (group columns, key, tokens) to rows of lists, and one row without a token for each block, with its rows' keys.
+
+    Blocks are numbered within their task; the tasks are numbered from first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        number = (first + (TaskContext.get().partitionId() if TaskContext.get() else 0)) << 32
         for batch in batches:
             # rows of like length stand together, so a block's greatest count and least length are near each other
             sizes = pc.fill_null(pc.list_value_length(batch.column(groups + 1)), 0)
@@ -106,7 +109,9 @@ def build(rows: DataFrame, path: str, key: str = "doc_key", group: Sequence[str]
     names = {f.name: f.dataType for f in own.schema.fields}
     kinds = [to_arrow_type(names[c]) for c in (*group, "key")]
     ddl = "".join(f"{c} {names[c].simpleString()}, " for c in group) + _LISTS + f", keys array<{names['key'].simpleString()}>"
-    own.mapInArrow(_indexer(len(group), kinds), ddl).write.mode(mode).parquet(f"{path}/blocks")
+    last = rows.sparkSession.read.parquet(f"{path}/blocks").agg(F.max("block")).first()[0] if mode == "append" else None
+    first = 0 if last is None else (last >> 32) + 1
+    own.mapInArrow(_indexer(len(group), kinds, first), ddl).write.mode(mode).parquet(f"{path}/blocks")
     return refresh(rows.sparkSession, path, key, group, epsilon)
 
 

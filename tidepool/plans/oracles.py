@@ -91,6 +91,8 @@ SELECT g AS first_id, CASE WHEN len(langs) = 1 THEN langs[1] END AS lang, CASE W
 FROM n LEFT JOIN firsts USING (g) LEFT JOIN sources USING (g)""",
     "ingested_files": f"""WITH {_small()}, {_windows()}, {_medium()}, every AS (SELECT 'small' AS kind, source, small_chunk_idx AS chunk_idx, raw_text FROM small UNION ALL SELECT 'medium', source, medium_chunk_idx, raw_text FROM med)
 SELECT kind, CAST(regexp_extract(source, '([0-9]+)[.]txt$', 1) AS BIGINT) AS doc_id, chunk_idx, md5(raw_text) AS raw_md5 FROM every""",
+    "incremental_ingest": f"""WITH {_small()}, {_windows()}, {_medium()} SELECT 'small' AS kind, source, small_chunk_idx AS chunk_idx, md5(raw_text) AS raw_md5 FROM small
+UNION ALL SELECT 'medium', source, medium_chunk_idx, md5(raw_text) FROM med""",
     "pair_centre": f"""WITH {_small()}, {_windows()}, c AS (SELECT source, length(source) % 7 AS lo, length(source) % 7 + count(*) % 8 AS lo2, max(win_hi) AS m FROM win GROUP BY source),
 p AS (SELECT source, lo, lo + 5 AS hi, lo2, lo2 + m % 5 + length(source) % 3 AS hi2 FROM c),
 mid AS (SELECT *, (lo + hi + 1) // 2 AS a, (lo2 + hi2 + 1) // 2 AS b FROM p)
@@ -131,3 +133,5 @@ SELECT conv_id, md5('Files at hand: a.txt, b.txt' || chr(10) || p) AS prompt_md5
 SELECT conv_id, turn, md5('Below are numbered contexts. Name those that help to answer, most helpful first, as a list such as [0, 2]; [] if none does.' || chr(10) || text || chr(10) || chr(10) || 'Question: why?' || chr(10) || 'List:') AS select_md5,
   md5(system || chr(10) || 'Question: why?' || chr(10) || 'Answer:') AS plain_md5, md5(system) AS system_md5, 'why?' AS human FROM s""",
 }
+
+SQL["streamed_memory"] = SQL["history_suffix"]

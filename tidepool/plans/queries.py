@@ -15,12 +15,14 @@ from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
-from tidepool.operators import chunking, filters, index, search
+from tidepool.operators import chunking, filters, index, search, vector_store
 from tidepool.plans import conversation, retrieval
-from tidepool.plans.ingest import build_stores, ingest_folder
+from tidepool.plans.ingest import build_stores, ingest_folder, merge_pages
 from tidepool.providers import get_embedding
 from tidepool.sources.files import read_store
 from tidepool.sources.stores import spread, stored
+from tidepool.streaming import memory
+from tidepool.streaming.ingest import arriving
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -113,6 +115,37 @@ def ingested_files(spark, sf):
     return out
 
 
+def incremental_ingest(spark, sf):
+    """Stores brought up to date: every third document changes, every fifth comes, and others go, before all stand as they are."""
+    store = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    pages = _pages(spark, sf).withColumn("h", F.crc32("source"))
+    other = pages.select("source", F.when(F.col("h") % 3 == 0, F.concat(F.lit("an older text. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"), "h").where("h % 5 <> 0")
+    gone = pages.where("h % 7 = 0").select(F.concat("source", F.lit(".old")).alias("source"), "text", "h")
+    merge_pages(other.unionByName(gone).drop("h"), store)
+    merge_pages(pages.drop("h"), store)
+    rows = None
+    for name in ("small", "medium"):
+        part = read_store(spark, f"{store}/chunks_{name}").select(F.lit(name).alias("kind"), "source", F.col(f"{name}_chunk_idx").alias("chunk_idx"), "raw_md5")
+        rows = part if rows is None else rows.unionByName(part)
+    return _longs(rows)
+
+
+def streamed_memory(spark, sf):
+    """Conversations as a stream, held as state: what is left is the token-bounded suffix of each."""
+    folder = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
+    path = f"{sf}/conversations.parquet"
+    stream = arriving(spark, path, spark.read.parquet(path).schema)
+    memory.remember_into(stream, folder, 120)
+    return memory.remembered(spark, folder).select("conv_id", "turn", "held")
+
+
+def vector_approximate(spark, sf):
+    """R2, J6, S9 from the approximate store: cells, codes and exact scores of what they find."""
+    e, q = _vectors(spark, sf)
+    store = stored(spark, f"{sf}/embeddings.parquet", "vectors", lambda folder: vector_store.build(e.select("vec_id", "embedding"), folder))
+    return _longs(vector_store.approximate_top_k(store, q, 5).select("query_id", "rank", "vec_id", "score"))
+
+
 def enrich_md5(spark, sf):
     """C7, C8."""
     return _longs(chunking.enrich(chunking.split_by_words(_pages(spark, sf))).select("source", "small_chunk_idx", "title", "source_md5", "raw_md5", F.md5("embed_text").alias("embed_md5")))
@@ -372,9 +405,9 @@ def answered_turns(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, enrich_md5, clean_tokens,
-        filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, mmr, rrf_fuse, rrf_dup_text,
-        select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, question_split, id_parse, snippet_render, context_assemble, three_stage,
+        list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens,
+        filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
+        select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, streamed_memory, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
     )
 }

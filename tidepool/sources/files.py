@@ -72,6 +72,17 @@ def write_store(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
+def overwrite_parts(rows: DataFrame, path: str, column: str, parts: list[int]) -> None:
+    """Replaces these parts of a store by rows, which hold no others; a part without rows goes, the other parts stay as they are."""
+    spark = rows.sparkSession
+    rows.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    full = {r[0] for r in rows.select(column).distinct().collect()}
+    for p in parts:
+        if p not in full:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={p}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_store(spark: SparkSession, path: str, schema: StructType | None = None, on_error: str = "raise") -> DataFrame:
     """The store's chunks. With on_error="empty" files that are missing or broken hold no rows, and a store that isn't there none at all."""
     if on_error == "raise":
