@@ -37,7 +37,9 @@ from tidepool.llm.packing import WordCache, has_known_rules
 
 END = "</w>"
 #: Chunks and fragments, and their ids, that a worker remembers before it starts anew.
-CACHE_STRINGS, CACHE_IDS = 500_000, 8_000_000
+CACHE_STRINGS, CACHE_IDS = 600_000, 8_000_000
+#: Fixed value: the tokenizer's split of printable ASCII in lower case, without spaces.
+ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: The letters that stand for bytes have smaller code points.
 LETTERS = 1 << 9
 
@@ -130,7 +132,19 @@ class Encoder(WordCache):
         return np.repeat(np.arange(len(words)), n + 1), slots
 
     def _words(self, chunks: list[str]) -> tuple[np.ndarray, list[str]]:
-        """(chunk's number, word) of chunks without white space or special tokens: split in one call, told apart by character place."""
+        """(chunk's number, word) of chunks without white space or special tokens."""
+        plain = [i for i, c in enumerate(chunks) if c.isascii() and c.isprintable()]
+        if len(plain) < len(chunks):
+            other = sorted(set(range(len(chunks))).difference(plain))
+            owner, words = self._split([chunks[i] for i in other])
+            own, more = self._words([chunks[i] for i in plain]) if plain else (np.empty(0, np.int64), [])
+            return np.concatenate([np.array(other, np.int64)[owner], np.array(plain, np.int64)[own]]), words + more
+        # printable ASCII letters stand for themselves
+        each = list(map(ASCII_WORDS.findall, "\n".join(chunks).lower().split("\n")))
+        return np.repeat(np.arange(len(chunks)), list(map(len, each))), list(itertools.chain.from_iterable(each))
+
+    def _split(self, chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The same by the tokenizer's own steps: chunks are split in one call, and told apart by character place."""
         plain = self.tokenizer.normalizer.normalize_str("\n".join(chunks))
         parts = plain.split(" ")
         if len(parts) != len(chunks):
