@@ -186,12 +186,44 @@ def test_interval_centroids_by_brute_force(spark, sf):
 
 def test_answered_turns_by_parts(spark, sf):
     """The stub asks the input back, so each turn's context is that of the three-stage search with its question."""
+    import hashlib
+
     from pyspark.sql import functions as F
 
-    got = QUERIES["answered_turns"](spark, sf).collect()
+    from tidepool.functions.text import clean_tokens
+    from tidepool.plans import conversation
+    from tidepool.plans.ingest import embedded_chunks
+    from tidepool.plans.queries import _pages
+    from tidepool.providers import get_embedding
+
+    got = {r["conv_id"]: r for r in QUERIES["answered_turns"](spark, sf).collect()}
     last = {r["conv_id"]: r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).collect()}
-    for r in got:
-        assert r["questions"].split("|")[0] in last[r["conv_id"]].replace("\r", " ").replace("\n", " ")
+    small, medium = ({f"{r['source_md5']}#{r[f'{name}_chunk_idx']}": r for r in rows.collect()} for name, rows in zip(("small", "medium"), embedded_chunks(_pages(spark, sf)), strict=True))
+    some = sorted(got)[:6]
+    asked = [(c, p, q) for c in some for p, q in enumerate(got[c]["questions"].split("|"))]
+    table = spark.createDataFrame([(c, p, f"{c}:{p}", q, len(got[c]["questions"].split("|"))) for c, p, q in asked], "conv_id long, question_pos int, query_id string, q string, num_query int")
+    questions = table.select("*", clean_tokens(F.col("q")).alias("tokens"), get_embedding("hashing")(F.col("q")).alias("embedding")).collect()
+    for c in got:
+        assert got[c]["questions"].split("|")[0] in last[c].replace("\r", " ").replace("\n", " ")
+    for c in some:
+        mine = [q for q in questions if q["conv_id"] == c]
+        pos = {q["query_id"]: q["question_pos"] for q in mine}
+        rows = [(c, pos[q], place, name, i, h, next(r["raw_text"] for r in medium.values() if r["raw_md5"] == h), rank) for q, place, name, i, h, rank in three_stage_model(small, medium, mine)]
+        found = spark.createDataFrame(rows, "conv_id long, question_pos int, source_pos int, file_name string, medium_chunk_idx int, raw_md5 string, raw_text string, rank int")
+        context = conversation.assemble(conversation.place_files(found), ("conv_id",)).first()["context"] if rows else ""
+        assert got[c]["context_md5"] == hashlib.md5(context.encode()).hexdigest()
+
+
+def test_hashed_embedding_by_brute_force(spark, sf):
+    import zlib
+
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    for r in QUERIES["hashed_embedding"](spark, sf).collect():
+        v = np.zeros(64)
+        for w in texts[r["item_id"]].lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >= 2**31 else -1
+        assert abs(r["first"] - v[0] / np.linalg.norm(v)) < 2e-6 and abs(r["norm"] - 1) < 1e-5
 
 
 def test_stores_that_cannot_be_read_hold_nothing(spark, sf, tmp_path):

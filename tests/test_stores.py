@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from tidepool.functions.text import clean_tokens
-from tidepool.operators import index, search, vector_store
+from tidepool.operators import filters, index, search, vector_store
 from tidepool.plans import ingest, retrieval
 from tidepool.plans.conversation import recent_turns
 from tidepool.sources import stores
@@ -195,6 +195,32 @@ def test_other_parts_stay_as_they_are(spark, tmp_path):
     assert not files()
 
 
+# windows
+
+
+def test_windows_by_brute_force(spark):
+    import random
+
+    random.seed(2)
+    rows = [(f"s{i % 3}", i, lo, lo + random.choice([0, 1, 7, 40, -1])) for i in range(300) for lo in [random.randint(0, 99)]] + [("s0", 900, None, 5), ("s0", 901, 2, None)]
+    points = [(f"s{random.randint(0, 3)}", random.randint(0, 140)) for _ in range(12)] * 2
+    want = sorted(i for s, i, lo, hi in rows if lo is not None and hi is not None and any(p == s and lo <= c <= hi for p, c in points))
+    chunks = spark.createDataFrame(rows, "source_md5 string, i int, win_lo int, win_hi int")
+    centres = spark.createDataFrame(points, "source_md5 string, centre int")
+    for size in (1, 8, 1000):
+        assert sorted(r["i"] for r in filters.in_windows(chunks, centres, size).collect()) == want
+    twice = filters.in_windows(chunks.union(chunks), centres)
+    assert sorted(r["i"] for r in twice.collect()) == sorted(want * 2)
+
+
+def test_a_chunk_meets_no_centre_far_away(spark):
+    chunks = spark.range(100_000).select(F.lit("s").alias("source_md5"), F.col("id").cast("int").alias("win_lo"), (F.col("id") + 6).cast("int").alias("win_hi"))
+    centres = spark.range(1000).select(F.lit("s").alias("source_md5"), (F.col("id") * 100).cast("int").alias("centre"))
+    out = filters.in_windows(chunks, centres)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bin" in plan and out.count() == 1000 * 7 - 6  # the first centre has one chunk
+
+
 # memory
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPARE = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
@@ -83,10 +83,19 @@ def _compile_known(tree: Mapping, hits) -> Column:
     return _all([t for t in leaf_terms(tree) if next(hits)])
 
 
-def in_windows(chunks: DataFrame, centres: DataFrame) -> DataFrame:
+def in_windows(chunks: DataFrame, centres: DataFrame, bin_size: int = 8) -> DataFrame:
     """Chunks of a source that stand in one of its centre windows: centres has source_md5 and centre.
 
-    The source is an equal key, so the stab is a residual condition of an equi-join.
+    Windows are cut into bins of ``bin_size`` and meet the centres of their source's
+    bins by an equal join, so a chunk meets no centre far from it. A bin knows the
+    last centre before it: a chunk counts in the first bin where a centre hits it,
+    so it is there once. Chunks without bounds stand in no window.
     """
+    bin_of = lambda x: F.floor(F.col(x) / bin_size)
     c = centres.select(F.col("source_md5").alias("__source"), "centre").dropDuplicates()
-    return chunks.join(c, (F.col("source_md5") == F.col("__source")) & F.col("centre").between(F.col("win_lo"), F.col("win_hi")), "left_semi")
+    bins = c.groupBy("__source", bin_of("centre").alias("__bin")).agg(F.collect_list("centre").alias("__centres"), F.max("centre").alias("__last"))
+    bins = bins.withColumn("__before", F.lag("__last").over(Window.partitionBy("__source").orderBy("__bin"))).withColumnRenamed("__bin", "__at")
+    cut = chunks.where("win_lo <= win_hi").withColumn("__bin", F.explode(F.sequence(bin_of("win_lo"), bin_of("win_hi"))))
+    met = cut.join(bins, (F.col("source_md5") == F.col("__source")) & (F.col("__bin") == F.col("__at")))
+    hit = F.exists("__centres", lambda x: x.between(F.col("win_lo"), F.col("win_hi"))) & (F.col("__before").isNull() | (F.col("__before") < F.col("win_lo")))
+    return met.where(hit).select(*[chunks[x] for x in chunks.columns])
