@@ -121,7 +121,7 @@ def refresh(spark: SparkSession, path: str, key: str = "doc_key", group: Sequenc
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.where("token is null").groupBy(*g).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("most")).alias("avgdl"))
     df = blocks.where("token is not null").groupBy(*g, "token").agg(F.sum("n").alias("df"))
-    raw = df.join(F.broadcast(sizes), g) if g else df.crossJoin(F.broadcast(sizes))  # without groups sizes is one row
+    raw = df.join(F.broadcast(sizes), g) if g else df.withColumn("n", F.lit(next((r["n"] for r in sizes.collect()), None)).cast("long"))  # without groups sizes is one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select(*g, "token", "df", "raw")
     raw.write.mode("overwrite").parquet(f"{path}/terms")
     stored = spark.read.parquet(f"{path}/terms")
@@ -161,10 +161,11 @@ def plan(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     g = list(index.group)
     asked_of = [c for c in g if c in queries.columns]
     asked = queries.select(*asked_of, "query_id", F.explode("tokens").alias("token")).groupBy(*asked_of, "query_id", "token").agg(F.count("*").alias("qtf"))
+    sizes = index.sizes if g else index.sizes.collect()  # without groups one row
     rows = asked.count() * (1 if asked_of == g else index.sizes.count())
     hint = F.broadcast if rows <= BROADCAST_ROWS else lambda df: df  # asked and weights have at most so many rows
     known = index.terms.join(hint(asked), [*asked_of, "token"])
-    known = known.join(F.broadcast(index.sizes), g) if g else known.crossJoin(F.broadcast(index.sizes))  # without groups sizes is one row
+    known = known.join(F.broadcast(sizes), g) if g else known.withColumn("avgdl", F.lit(sizes[0]["avgdl"] if sizes else None).cast("double"))
     weights = hint(known.select("query_id", *g, "token", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"))
     directory = index.blocks.where("token is not null").select(*g, "block", "token", "most", "least")
     least = F.greatest(F.lit(0.0), F.col("w")) * _part(F.col("most"), F.col("least"), k1, b)
