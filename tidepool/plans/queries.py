@@ -199,15 +199,14 @@ def _questions(spark, sf):
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tx.clean_tokens(F.col("text")).alias("tokens"))
 
 
-def _document_index(spark, sf, group=()):
-    """The inverted index of all documents, built once a session for the same files."""
+def _bm25_docs(spark, sf):
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"), f"{sf}/documents.parquet")
+    return docs.select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens"))
 
-    def build(folder):
-        docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"), f"{sf}/documents.parquet")
-        docs = docs.select("doc_id", "source", tx.clean_tokens(F.col("text")).alias("tokens"))
-        return index.build(docs, folder, "doc_id", group)
 
-    return stored(spark, f"{sf}/documents.parquet", f"index-{'-'.join(group)}", build)
+def _document_index(spark, sf, group=()):
+    """The inverted index of all documents, built once a session for the same files."""
+    return stored(spark, f"{sf}/documents.parquet", f"index-{'-'.join(group)}", lambda folder: index.build(_bm25_docs(spark, sf), folder, "doc_id", group))
 
 
 def bm25_top3(spark, sf):
