@@ -16,6 +16,7 @@ from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
 from tidepool.operators import chunking, filters, index, search, vector_store
+from tidepool.operators import tokens as bpe_tokens
 from tidepool.plans import conversation, retrieval
 from tidepool.plans.ingest import build_stores, ingest_folder, merge_pages
 from tidepool.providers import get_embedding
@@ -59,6 +60,23 @@ def token_lengths(spark, sf):
     return _longs(_table(spark, sf, "documents").select("doc_id", F.size(tx.words(F.col("text"))).alias("n_tokens")))
 
 
+def _vocabulary():
+    import public_tokenizers
+
+    return bpe_tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def bpe_token_lengths(spark, sf):
+    """C1 in byte-pair tokens: each distinct word of the corpus is merged once."""
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "text"), f"{sf}/documents.parquet")
+    return bpe_tokens.token_lengths(docs, ["doc_id"], _vocabulary())
+
+
+def chunk_tokens(spark, sf):
+    """Chunks of whole words, at most 100 byte-pair tokens each."""
+    return _longs(bpe_tokens.split_by_tokens(spread(_pages(spark, sf), f"{sf}/documents.parquet"), _vocabulary(), 100).select("source", "small_chunk_idx", "n_chunks", "n_tokens", F.md5("raw_text").alias("raw_md5")))
+
+
 def chunk_small(spark, sf):
     """C2, C3."""
     return _longs(chunking.split_by_words(_pages(spark, sf)).select("source", "small_chunk_idx", "n_chunks", "raw_text"))
@@ -404,7 +422,7 @@ def answered_turns(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_files, file_names, token_lengths, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens,
+        list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens,
         filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, streamed_memory, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
