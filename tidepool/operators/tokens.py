@@ -99,8 +99,8 @@ def word_lengths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _met(rows: DataFrame, key: Sequence[str], text: str, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(key, pos, word, n_tokens of hot words; key, word, n_tokens of the others)"""
-    split = rows.select(*key, F.posexplode_outer(vocabulary.words(F.col(text))).alias("pos", "word"))
+    """(key, word, n_tokens of hot words; key, word, n_tokens of the others)"""
+    split = rows.select(*key, F.explode_outer(vocabulary.words(F.col(text))).alias("word"))
     lengths = word_lengths(split.select("word"), vocabulary)
     met = split.join(F.broadcast(lengths.where("hot").select("word", "n_tokens")), "word", "left")
     cold = met.where("word is not null and n_tokens is null").select(*key, "word").join(lengths.where("not hot").select("word", "n_tokens"), "word")

@@ -135,3 +135,5 @@ SELECT conv_id, turn, md5('Below are numbered contexts. Name those that help to
 }
 
 SQL["streamed_memory"] = SQL["history_suffix"]
+SQL["value_index_and_or"] = SQL["filter_and_or"]
+SQL["value_index_ignore_empty"] = SQL["filter_ignore_empty"]

@@ -15,7 +15,7 @@ from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
-from tidepool.operators import chunking, filters, index, search, vector_store
+from tidepool.operators import chunking, filters, index, search, value_index, vector_store
 from tidepool.operators import tokens as bpe_tokens
 from tidepool.plans import conversation, retrieval
 from tidepool.plans.ingest import build_stores, ingest_folder, merge_pages
@@ -198,6 +198,24 @@ def filter_ignore_empty(spark, sf):
     return filters.apply_filter(_table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), tree, "ignore").select("doc_id")
 
 
+def _value_index(spark, sf):
+    """The value index of all labelled documents, built once a session for the same files."""
+    columns = ["lang", "source", "n_chars", "quality"]
+    return stored(spark, f"{sf}/documents.parquet", "values", lambda folder: value_index.build(_labelled(spark, sf), folder, columns))
+
+
+def value_index_and_or(spark, sf):
+    """filter_and_or answered from bitmaps of values."""
+    tree = {"AND": [{"OR": [{"lang": ("==", "de")}, {"quality": ("==", 1)}]}, {"n_chars": (">", 500), "source": ("<=", "src5")}]}
+    return _longs(value_index.select(_value_index(spark, sf), tree).select("doc_id", "lang", "n_chars"))
+
+
+def value_index_ignore_empty(spark, sf):
+    """filter_ignore_empty answered from bitmaps of values."""
+    tree = {"lang": ("==", "no such language"), "n_chars": (">", 1000)}
+    return value_index.select(_value_index(spark, sf), tree, "ignore").select("doc_id")
+
+
 def set_operations(spark, sf):
     """Union and intersection of results as rows."""
     d = _table(spark, sf, "documents").select("lang", "source")
@@ -423,7 +441,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens,
-        filter_and_or, filter_ranges, filter_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
+        filter_and_or, filter_ranges, filter_ignore_empty, value_index_and_or, value_index_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, streamed_memory, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
     )
