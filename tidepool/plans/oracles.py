@@ -137,3 +137,24 @@ SELECT conv_id, turn, md5('Below are numbered contexts. Name those that help to
 SQL["streamed_memory"] = SQL["history_suffix"]
 SQL["value_index_and_or"] = SQL["filter_and_or"]
 SQL["value_index_ignore_empty"] = SQL["filter_ignore_empty"]
+
+_ENDINGS = {"s": "", "ses": "s", "ves": "f", "xes": "x", "zes": "z", "ches": "ch", "shes": "sh", "men": "man", "ies": "y"}
+_NOUNS = (
+    "children child feet foot geese goose mice mouse teeth tooth oxen ox lice louse indices index vertices vertex matrices matrix appendices appendix "
+    "analyses analysis crises crisis theses thesis hypotheses hypothesis criteria criterion phenomena phenomenon lives life wives wife knives knife"
+).split()
+_LEMMAS = f"""WITH docs AS (SELECT doc_id, {_clean("text")} AS tokens FROM documents),
+vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM docs) GROUP BY token),
+endings AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _ENDINGS.items())}) AS t(old, new)),
+nouns AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in zip(_NOUNS[::2], _NOUNS[1::2], strict=True))}) AS t(token, lemma)),
+tried AS (SELECT token, left(token, length(token) - length(old)) || new AS form FROM vocab JOIN endings ON suffix(token, old) WHERE regexp_full_match(token, '[a-z]+') AND NOT suffix(token, 'ss')),
+forms AS (SELECT token, form FROM tried WHERE length(form) >= 3 AND form IN (SELECT token FROM vocab) UNION ALL SELECT token, token FROM vocab),
+best AS (SELECT token, form FROM forms QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(form), form) = 1),
+lemma AS (SELECT token, coalesce(nouns.lemma, form) AS lemma FROM best LEFT JOIN nouns USING (token))"""
+SQL["lemma_tokens"] = _LEMMAS + " SELECT lemma AS token, CAST(sum(n) AS BIGINT) AS n FROM lemma JOIN vocab USING (token) GROUP BY lemma"
+SQL["lemma_documents"] = (
+    _LEMMAS
+    + """, spread AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM docs),
+joined AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS t FROM spread JOIN lemma USING (token) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN tokens IS NULL THEN NULL ELSE md5(coalesce(t, '')) END AS lemmas_md5 FROM docs LEFT JOIN joined USING (doc_id)"""
+)

@@ -15,7 +15,7 @@ from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
-from tidepool.operators import chunking, filters, index, search, value_index, vector_store
+from tidepool.operators import chunking, filters, index, lemmas, search, value_index, vector_store
 from tidepool.operators import tokens as bpe_tokens
 from tidepool.plans import conversation, retrieval
 from tidepool.plans.ingest import build_stores, ingest_folder, merge_pages
@@ -174,6 +174,19 @@ def clean_tokens(spark, sf):
     return _table(spark, sf, "documents").select(F.explode(tx.clean_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def lemma_tokens(spark, sf):
+    """clean_tokens as a frequency table of lemmas."""
+    docs = spread(_table(spark, sf, "documents").select("text"), f"{sf}/documents.parquet")
+    return lemmas.lemma_counts(lemmas.vocabulary(docs.select(tx.clean_tokens(F.col("text")).alias("tokens"))))
+
+
+def lemma_documents(spark, sf):
+    """The lemmas of each document in their order."""
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "text"), f"{sf}/documents.parquet")
+    out = lemmas.lemmatize(docs.select("doc_id", tx.clean_tokens(F.col("text")).alias("tokens")), ["doc_id"])
+    return out.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("lemmas_md5"))
+
+
 def _labelled(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return d.join(_table(spark, sf, "labels"), "doc_id", "left")
@@ -440,7 +453,7 @@ def answered_turns(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens,
+        list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens, lemma_tokens, lemma_documents,
         filter_and_or, filter_ranges, filter_ignore_empty, value_index_and_or, value_index_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, streamed_memory, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
