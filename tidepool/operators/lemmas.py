@@ -6,9 +6,9 @@ of equally short ones the first by bytes. Irregular words have their lemma from
 Only words of a to z are changed, and none to fewer than ``LEAST`` letters; words in "ss"
 stay. All steps are DataFrame functions over the vocabulary.
 
-Words that make up over ``HOT_SHARE`` of all tokens are broadcast with their lemmas,
-1 / HOT_SHARE at most; other tokens are met by a shuffle in which no word has more than
-its share of the rows.
+Tokens that no rule fits meet nothing. Of the others, words that make up over
+``HOT_SHARE`` of all tokens are broadcast with their lemmas, 1 / HOT_SHARE at most; the
+rest is met by a shuffle in which no word has more than its share of the rows.
 
 Defined results: null and empty arrays stay as they are, null tokens are left out.
 """
@@ -72,11 +72,13 @@ def lemmatize(rows: DataFrame, key: Sequence[str], tokens: str = "tokens") -> Da
     words = vocabulary(rows, tokens)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     other = changed(words).select("token", "lemma")
-    lemmas = cut(words.join(other, "token", "left").select("token", F.coalesce("lemma", "token").alias("lemma"), (F.col("n") >= HOT_SHARE * total).alias("hot")))
+    fits = F.col("token").isin(list(IRREGULAR)) | (F.size(forms(F.col("token"))) > 0)
+    lemmas = cut(words.where(fits).join(other, "token", "left").select("token", F.coalesce("lemma", "token").alias("lemma"), (F.col("n") >= HOT_SHARE * total).alias("hot")))
     each = rows.select(*key, F.posexplode(tokens).alias("pos", "token")).where("token is not null")
-    met = each.join(F.broadcast(lemmas.where("hot").select("token", "lemma")), "token", "left")
+    plain = each.where(~fits).withColumnRenamed("token", "lemma")
+    met = each.where(fits).join(F.broadcast(lemmas.where("hot").select("token", "lemma")), "token", "left")
     rare = met.where("lemma is null").drop("lemma").join(lemmas.where("not hot").select("token", "lemma"), "token")
-    met = met.where("lemma is not null").unionByName(rare)
+    met = met.where("lemma is not null").unionByName(rare).drop("token").unionByName(plain)
     placed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("placed"))
     back = rows.alias("a").join(placed.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
     return back.select(*[F.col(f"a.{k}") for k in key], F.when(F.col(f"a.{tokens}").isNull(), None).otherwise(F.coalesce(F.col("placed.lemma"), F.array().cast("array<string>"))).alias(tokens))
