@@ -16,6 +16,8 @@ Defined results: null and empty arrays stay as they are, null tokens are left ou
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,17 +70,25 @@ def lemma_counts(words: DataFrame) -> DataFrame:
 
 
 def lemmatize(rows: DataFrame, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """key and tokens with each token's lemma in its place; the key names a row."""
+    """key and tokens with each token's lemma in its place; the key names a row.
+
+    Only changed words are gathered by row, with their places; the row's tokens between them are kept as they stand.
+    """
     words = vocabulary(rows, tokens)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     other = changed(words).select("token", "lemma")
-    fits = F.col("token").isin(list(IRREGULAR)) | (F.size(forms(F.col("token"))) > 0)
-    lemmas = cut(words.where(fits).join(other, "token", "left").select("token", F.coalesce("lemma", "token").alias("lemma"), (F.col("n") >= HOT_SHARE * total).alias("hot")))
-    each = rows.select(*key, F.posexplode(tokens).alias("pos", "token")).where("token is not null")
-    plain = each.where(~fits).withColumnRenamed("token", "lemma")
-    met = each.where(fits).join(F.broadcast(lemmas.where("hot").select("token", "lemma")), "token", "left")
-    rare = met.where("lemma is null").drop("lemma").join(lemmas.where("not hot").select("token", "lemma"), "token")
-    met = met.where("lemma is not null").unionByName(rare).drop("token").unionByName(plain)
+    ends = reduce(or_, [F.col("token").endswith(old) for old in SUFFIXES])
+    fits = F.col("token").isin(list(IRREGULAR)) | (ends & F.col("token").rlike("^[a-z]+$") & ~F.col("token").endswith("ss"))
+    lemmas = cut(words.where(fits).join(other, "token", "left").select("token", "lemma", (F.col("n") >= HOT_SHARE * total).alias("hot")))
+    whole = rows.select(*key, F.array_compact(tokens).alias("own"))
+    each = whole.select(*key, F.posexplode("own").alias("pos", "token")).where(fits)
+    met = each.join(F.broadcast(lemmas.where("hot").select("token", "lemma", "hot")), "token", "left")
+    rare = met.where("hot is null").drop("lemma", "hot").join(lemmas.where("not hot and lemma is not null").select("token", "lemma"), "token")
+    met = met.where("lemma is not null").drop("hot").unionByName(rare)
     placed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("placed"))
-    back = rows.alias("a").join(placed.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
-    return back.select(*[F.col(f"a.{k}") for k in key], F.when(F.col(f"a.{tokens}").isNull(), None).otherwise(F.coalesce(F.col("placed.lemma"), F.array().cast("array<string>"))).alias(tokens))
+    back = whole.alias("a").join(placed.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
+    after = lambda i: F.coalesce(F.get("placed", i)["pos"], F.lit(-1)) + 2  # noqa: E731  slices count from 1
+    runs = F.transform("placed", lambda x, i: F.concat(F.slice("own", after(i - 1), x["pos"] + 1 - after(i - 1)), F.array(x["lemma"])))
+    start = after(F.size("placed") - 1)
+    joined = F.concat(F.flatten(runs), F.slice("own", start, F.greatest(F.lit(0), F.size("own") + 1 - start)))
+    return back.select(*[F.col(f"a.{k}") for k in key], F.when(F.col("placed").isNull(), F.col("own")).otherwise(joined).alias(tokens))
