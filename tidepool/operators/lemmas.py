@@ -82,9 +82,10 @@ def lemmatize(rows: DataFrame, key: Sequence[str], tokens: str = "tokens") -> Da
     lemmas = cut(words.where(fits).join(other, "token", "left").select("token", "lemma", (F.col("n") >= HOT_SHARE * total).alias("hot")))
     whole = rows.select(*key, F.array_compact(tokens).alias("own"))
     each = whole.select(*key, F.posexplode("own").alias("pos", "token")).where(fits)
-    met = each.join(F.broadcast(lemmas.where("hot").select("token", "lemma", "hot")), "token", "left")
+    met = each.join(F.broadcast(lemmas.where("hot").select("token", "lemma", "hot")), "token", "left").where("hot is null or lemma is not null")
+    met = cut(met)  # read twice, and cheaper to keep than the rows are to read again
     rare = met.where("hot is null").drop("lemma", "hot").join(lemmas.where("not hot and lemma is not null").select("token", "lemma"), "token")
-    met = met.where("lemma is not null").drop("hot").unionByName(rare)
+    met = met.where("hot").drop("hot").unionByName(rare)
     placed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("placed"))
     back = whole.alias("a").join(placed.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
     after = lambda i: F.coalesce(F.get("placed", i)["pos"], F.lit(-1)) + 2  # noqa: E731  slices count from 1
