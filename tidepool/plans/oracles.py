@@ -158,3 +158,10 @@ SQL["lemma_documents"] = (
 joined AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS t FROM spread JOIN lemma USING (token) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN tokens IS NULL THEN NULL ELSE md5(coalesce(t, '')) END AS lemmas_md5 FROM docs LEFT JOIN joined USING (doc_id)"""
 )
+SQL["proximity_select"] = f"""WITH {_bm25('', _DOCS, _ASKED, '', 6)},
+flat AS (SELECT query_id, rank, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM hits JOIN docs USING (doc_id)),
+held AS (SELECT DISTINCT f.* FROM flat f JOIN q USING (query_id, token)),
+ends AS (SELECT a.query_id, a.rank, a.doc_id, a.pos, b.token, max(b.pos) AS last FROM held a JOIN held b ON a.query_id = b.query_id AND a.rank = b.rank AND b.pos <= a.pos GROUP BY ALL),
+spans AS (SELECT query_id, rank, doc_id, pos, count(*) AS t, pos - min(last) + 1 AS w FROM ends GROUP BY query_id, rank, doc_id, pos),
+best AS (SELECT query_id, rank, doc_id, t AS terms, min(w) AS width FROM spans GROUP BY query_id, rank, doc_id, t QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY t DESC) = 1)
+SELECT query_id, doc_id, rank, terms, width, row_number() OVER (PARTITION BY query_id ORDER BY terms DESC, width, rank) AS place FROM best"""
