@@ -70,15 +70,21 @@ def lemma_counts(words: DataFrame) -> DataFrame:
 
 
 def lemmatize(rows: DataFrame, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """key and tokens with each token's lemma in its place; the key names a row.
-
-    Only changed words are gathered by row, with their places; the row's tokens between them are kept as they stand.
-    """
+    """key and tokens with each token's lemma in its place; the key names a row."""
     words = vocabulary(rows, tokens)
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    other = changed(words).select("token", "lemma")
     ends = reduce(or_, [F.col("token").endswith(old) for old in SUFFIXES])
     fits = F.col("token").isin(list(IRREGULAR)) | (ends & F.col("token").rlike("^[a-z]+$") & ~F.col("token").endswith("ss"))
+    return put(rows, key, words, changed(words).select("token", "lemma"), fits, tokens)
+
+
+def put(rows: DataFrame, key: Sequence[str], words: DataFrame, other: DataFrame, fits: Column, tokens: str = "tokens") -> DataFrame:
+    """key and tokens, with the lemma of each token that ``other`` (token, lemma) holds in its place.
+
+    words are the distinct tokens of rows and their counts n; fits, a condition on a token, holds for all tokens of
+    ``other`` at least. Only changed tokens are gathered by row, with their places; a row's tokens between them
+    are kept as they stand.
+    """
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lemmas = cut(words.where(fits).join(other, "token", "left").select("token", "lemma", (F.col("n") >= HOT_SHARE * total).alias("hot")))
     whole = rows.select(*key, F.array_compact(tokens).alias("own"))
     each = whole.select(*key, F.posexplode("own").alias("pos", "token")).where(fits)

@@ -165,3 +165,28 @@ ends AS (SELECT a.query_id, a.rank, a.doc_id, a.pos, b.token, max(b.pos) AS last
 spans AS (SELECT query_id, rank, doc_id, pos, count(*) AS t, pos - min(last) + 1 AS w FROM ends GROUP BY query_id, rank, doc_id, pos),
 best AS (SELECT query_id, rank, doc_id, t AS terms, min(w) AS width FROM spans GROUP BY query_id, rank, doc_id, t QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY t DESC) = 1)
 SELECT query_id, doc_id, rank, terms, width, row_number() OVER (PARTITION BY query_id ORDER BY terms DESC, width, rank) AS place FROM best"""
+
+
+def _raw(text: str) -> str:
+    """Raw word tokens: the rules of the word tokenizer for RE2."""
+    clitic = r"(?i)(\p{L})(n''t|''s|''re|''ve|''ll|''d|''m)([ \t\n\r\f\x0B]|$)"
+    mark = r"([!?;,:()\[\]{}<>\"“”«»…@#$%&]|--+|\.\.+)"
+    rules = [(r"[\x01\x02]", "' '")] + [(r"([0-9]),([0-9])", r"'\1' || chr(1) || '\2'")] * 2 + [(r"([0-9]):([0-9])", r"'\1' || chr(2) || '\2'")] * 2
+    rules += [(mark, r"' \1 '"), (r"\x01", "','"), (r"\x02", "':'")] + [(clitic, r"'\1 \2 \3'")] * 2
+    for pattern, by in rules:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return f"list_filter(string_split_regex({text}, '{_SPACE}'), lambda w: w <> '')"
+
+
+_WORDS = rf"""WITH vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest({_raw('text')}) AS token FROM documents) GROUP BY token),
+ended AS (SELECT token, n, regexp_matches(token, '[^.]\.$') AS e FROM vocab),
+named AS (SELECT token, n, e, lower(CASE WHEN e THEN left(token, length(token) - 1) ELSE token END) AS word FROM ended),
+p AS (SELECT coalesce(sum(n) FILTER (e), 0) / sum(n) AS p FROM ended),
+counted AS (SELECT word, CAST(coalesce(sum(n) FILTER (e), 0) AS BIGINT) AS k, CAST(coalesce(sum(n) FILTER (NOT e), 0) AS BIGINT) AS m, length(replace(word, '.', '')) AS l FROM named WHERE regexp_full_match(word, '\p{{L}}(\p{{L}}|\.\p{{L}})*') GROUP BY word),
+scored AS (SELECT word, k AS n_with, m AS n_without, round(2 * (k * ln(0.99e0) + m * ln(1 - 0.99e0) - k * ln(p) - CASE WHEN m > 0 THEN m * ln(1 - p) ELSE 0 END) * exp(-l) * (length(word) - l + 1) * pow(l, -CAST(m AS DOUBLE)), 6) AS score FROM counted CROSS JOIN p WHERE k > 0)"""
+SQL["learnt_abbreviations"] = _WORDS + " SELECT *, score >= 0.3e0 AS learnt FROM scored"
+SQL["word_tokens"] = (
+    _WORDS
+    + """, cutting AS (SELECT token, n, e AND word NOT IN (SELECT word FROM scored WHERE score >= 0.3e0) AS c FROM named)
+SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN c THEN left(token, length(token) - 1) ELSE token END AS token, n FROM cutting UNION ALL SELECT '.', n FROM cutting WHERE c) GROUP BY token"""
+)

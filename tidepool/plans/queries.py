@@ -15,7 +15,7 @@ from tidepool.checkpoint import cut, shared_folder
 from tidepool.functions import prompts
 from tidepool.functions import text as tx
 from tidepool.functions.intervals import interval_centres
-from tidepool.operators import chunking, filters, index, lemmas, proximity, search, value_index, vector_store
+from tidepool.operators import chunking, filters, index, lemmas, proximity, search, value_index, vector_store, words
 from tidepool.operators import tokens as bpe_tokens
 from tidepool.plans import conversation, retrieval
 from tidepool.plans.ingest import build_stores, ingest_folder, merge_pages
@@ -187,6 +187,21 @@ def lemma_documents(spark, sf):
     return out.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("lemmas_md5"))
 
 
+def _raw_words(spark, sf):
+    docs = spread(_table(spark, sf, "documents").select("text"), f"{sf}/documents.parquet")
+    return lemmas.vocabulary(docs.select(words.raw_tokens(F.col("text")).alias("tokens")))
+
+
+def learnt_abbreviations(spark, sf):
+    """All words before periods, scored as abbreviations by their counts in the corpus."""
+    return words.scored(_raw_words(spark, sf)).select("*", (F.col("score") >= words.LEAST_SCORE).alias("learnt"))
+
+
+def word_tokens(spark, sf):
+    """Word tokens and how often they stand, periods set apart but for learnt abbreviations."""
+    return words.token_counts(_raw_words(spark, sf))
+
+
 def _labelled(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return d.join(_table(spark, sf, "labels"), "doc_id", "left")
@@ -324,8 +339,10 @@ def select_last_per_source(spark, sf):
 def proximity_select(spark, sf):
     """R7 by reading the candidates: a question's first six rows, by how many of its terms they hold and how closely."""
     asked = _questions(spark, sf)
-    hits = index.search(_document_index(spark, sf), asked, 6).select("query_id", "rank", "doc_id")
-    rows = cut(hits.join(_bm25_docs(spark, sf).select("doc_id", "tokens"), "doc_id"))
+    hits = cut(index.search(_document_index(spark, sf), asked, 6).select("query_id", "rank", "doc_id"))
+    few = F.broadcast(hits) if hits.count() <= index.BROADCAST_ROWS else hits
+    found = _table(spark, sf, "documents").select("doc_id", "text").join(few, "doc_id")
+    rows = cut(found.select("query_id", "rank", "doc_id", tx.clean_tokens(F.col("text")).alias("tokens")))
     best = proximity.in_order(rows, asked).join(rows.select("query_id", "rank", "doc_id"), ["query_id", "rank"])
     return _longs(best.select("query_id", "doc_id", "rank", "terms", "width", "place"))
 
@@ -462,7 +479,7 @@ def answered_turns(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens, lemma_tokens, lemma_documents,
+        list_files, file_names, token_lengths, bpe_token_lengths, chunk_tokens, chunk_small, chunk_overlap, chunk_windows, chunk_windows_fine, chunk_medium, chunk_medium_misaligned, chunk_rollup, ingested_files, incremental_ingest, enrich_md5, clean_tokens, lemma_tokens, lemma_documents, learnt_abbreviations, word_tokens,
         filter_and_or, filter_ranges, filter_ignore_empty, value_index_and_or, value_index_ignore_empty, set_operations, window_stab, bm25_top3, bm25_per_file, vector_topk, vector_topk_filtered, vector_approximate, mmr, rrf_fuse, rrf_dup_text,
         select_last_per_source, proximity_select, dynamic_k, pair_centre, interval_centroids, history_render, history_suffix, streamed_memory, question_split, id_parse, snippet_render, context_assemble, three_stage,
         speaker_strip, prompt_refine, prompt_answer, chunk_recursive, hashed_embedding, answered_turns,
