@@ -183,7 +183,7 @@ ended AS (SELECT token, n, regexp_matches(token, '[^.]\.$') AS e FROM vocab),
 named AS (SELECT token, n, e, lower(CASE WHEN e THEN left(token, length(token) - 1) ELSE token END) AS word FROM ended),
 p AS (SELECT coalesce(sum(n) FILTER (e), 0) / sum(n) AS p FROM ended),
 counted AS (SELECT word, CAST(coalesce(sum(n) FILTER (e), 0) AS BIGINT) AS k, CAST(coalesce(sum(n) FILTER (NOT e), 0) AS BIGINT) AS m, length(replace(word, '.', '')) AS l FROM named WHERE regexp_full_match(word, '\p{{L}}(\p{{L}}|\.\p{{L}})*') GROUP BY word),
-scored AS (SELECT word, k AS n_with, m AS n_without, round(2 * (k * ln(0.99e0) + m * ln(1 - 0.99e0) - k * ln(p) - CASE WHEN m > 0 THEN m * ln(1 - p) ELSE 0 END) * exp(-l) * (length(word) - l + 1) * pow(l, -CAST(m AS DOUBLE)), 6) AS score FROM counted CROSS JOIN p WHERE k > 0)"""
+scored AS (SELECT word, k AS n_with, m AS n_without, round(2 * (k * ln(0.99e0) + m * ln(1 - 0.99e0) - k * ln(p) - CASE WHEN m > 0 THEN m * ln(1 - p) ELSE 0 END) * exp(-l) * (length(word) - l + 1) * pow(l, -CAST(m AS DOUBLE)), 6) + 0e0 AS score FROM counted CROSS JOIN p WHERE k > 0)"""
 SQL["learnt_abbreviations"] = _WORDS + " SELECT *, score >= 0.3e0 AS learnt FROM scored"
 SQL["word_tokens"] = (
     _WORDS
