@@ -615,6 +615,17 @@ def test_pipeline_near_copies_by_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(group))
 
 
+def test_pipeline_links_by_bits_too(spark, sf):
+    """Few unlike shingles beside one that repeats: within three bits, but far below a Jaccard similarity of 0.8."""
+    import corpus_pipeline
+
+    body = "a b c " * 200
+    texts = [body + "p q r s t", body + "u v w x y", "quite another text of its own"]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3
+    assert shingles.keep_one(docs_of(spark, texts, 0)).count() == 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, texts, 0), sf).collect()) == [0, 2]
+
+
 def test_pairs_across_components(monkeypatch, spark, sf):
     """With no turns at all, the comparison across components finds the same."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -228,14 +228,14 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, row_key, fp, component_id: the smallest doc_id that is reachable over links."""
+    """doc_id, row_key, fp, component_id (the smallest doc_id that is reachable over links), root (the least fp)."""
     own = cut(fingerprints(docs, words))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
+    of_fp = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id", "root")
+    return own.join(of_fp, "fp").select("doc_id", "row_key", "fp", "component_id", "root")
 
 
 def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
