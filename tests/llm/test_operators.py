@@ -582,6 +582,17 @@ def test_near_awkward(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_texts_are_shuffled_once_for_suffix_dedup(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = suffix_dedup.dedup_substrings(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id#" in line and "_groupingexpression" not in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1, plan
+
+
 # shingles
 
 

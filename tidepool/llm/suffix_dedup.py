@@ -425,7 +425,8 @@ def _told_apart(docs: DataFrame) -> DataFrame:
     many = cut(hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id"))
     repeated = many.count()
     if not repeated:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("key"), "text")
+        # 0, but no literal: that would fall out of the joins' keys, and the texts would be shuffled again for each
+        return docs.select("doc_id", F.col("doc_id").bitwiseAND(F.lit(0)).alias("key"), "text")
     hint = F.broadcast if repeated <= REPEATED_IDS else lambda df: df
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1
     place = F.when(number > 0xFFFF, F.raise_error(F.lit("a doc_id has over 65,536 unlike texts")).cast("int")).otherwise(number)
