@@ -193,3 +193,20 @@ def test_streamed_folder(spark, tmp_path):
         watch_text_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), Config(base_chunk_size=2)).awaitTermination()
     small = spark.read.parquet(str(tmp_path / "out/chunks_small"))
     assert sorted(r["raw_text"] for r in small.collect()) == ["four", "one two", "three"]
+
+
+def test_scores_of_few_questions_are_held_at_once(monkeypatch, spark):
+    """A tile's scores come a block of questions at a time, and the result is that of all at once."""
+    import random
+
+    from tests.conftest import rows_of
+
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")
+    asked = docs.withColumnRenamed("vec_id", "query_id")
+    want = {f: rows_of(search.vector_top_k(docs, asked, 3, id_col="vec_id", file_col=f)) for f in (None, "label")}
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    for f, rows in want.items():
+        assert rows_of(search.vector_top_k(docs, asked, 3, id_col="vec_id", file_col=f)) == rows
+    assert len(want["label"]) == 120

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Questions whose scores over a tile of documents are held at once.
+BLOCK_QUERIES = 128
+
+
 def ranked(scores: DataFrame, keys: Sequence[str], k: int | None, order: Sequence[Column]) -> DataFrame:
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return out if k is None else out.where(F.col("rank") <= k)
@@ -92,13 +96,19 @@ def vector_scores(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "do
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": left["query_id"].to_numpy()[:0], id_col: right[id_col].to_numpy()[:0], "score": np.empty(0)})
-        s = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
+        ours, theirs = (np.stack(rows["v"].to_numpy()).astype(np.float64) for rows in (left, right))
         if file_col:
-            s = np.where(left["file"].to_numpy(object)[:, None] == right["file"].to_numpy(object)[None, :], s, -np.inf)
-        top = min(k, s.shape[1])
-        keep = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top] - 1e-9  # ties beyond the k-th go on
-        x, y = np.nonzero((s >= keep[:, None]) & np.isfinite(s))
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], id_col: right[id_col].to_numpy()[y], "score": s[x, y]})
+            mine, files = left["file"].to_numpy(object), right["file"].to_numpy(object)
+        top, found = min(k, len(right)), []
+        for at in range(0, len(left), BLOCK_QUERIES):
+            s = ours[at : at + BLOCK_QUERIES] @ theirs.T
+            if file_col:
+                s[mine[at : at + BLOCK_QUERIES, None] != files[None, :]] = -np.inf
+            keep = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top] - 1e-9  # ties beyond the k-th go on
+            x, y = np.nonzero((s >= keep[:, None]) & np.isfinite(s))
+            found.append((x + at, y, s[x, y]))
+        x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], id_col: right[id_col].to_numpy()[y], "score": score})
 
     return q.groupBy("qt", "dt").cogroup(d.groupBy("qt", "dt")).applyInPandas(cell, f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, score double")
 
