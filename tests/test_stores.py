@@ -195,6 +195,20 @@ def test_other_parts_stay_as_they_are(spark, tmp_path):
     assert not files()
 
 
+def test_index_workers_get_bounded_batches(spark, tmp_path):
+    """However many rows a task has, a worker gets few of them at once; the session's own setting stays."""
+    from tidepool.operators import index
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, rows = spark.conf.get(name), 3 * 4 * index.BLOCK_ROWS
+    docs = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_key"), F.array_repeat(F.lit("a"), (F.col("id") % 7 + 1).cast("int")).alias("tokens"))
+    built = index.build(docs, f"{tmp_path}/index")
+    # rows are in order of their lengths within a batch alone, so the shortest stand in blocks of every batch
+    short = {r["block"] for r in built.blocks.where("least = 1 and token = 'a'").select("block").collect()}
+    assert len(short) == 3 and spark.conf.get(name) == was
+    assert built.sizes.first()["n"] == rows
+
+
 # windows
 
 

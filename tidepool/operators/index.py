@@ -33,6 +33,8 @@ from tidepool.checkpoint import cut
 BLOCK_ROWS = 512
 #: Tables that are counted to have at most so many rows are broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows and bytes of a batch that a worker indexes at once, so its memory doesn't grow with the table.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(4 * BLOCK_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _LISTS = "block long, token string, n long, most int, least int, total long, places array<int>, counts array<int>, lengths array<int>"
 
 
@@ -111,7 +113,15 @@ def build(rows: DataFrame, path: str, key: str = "doc_key", group: Sequence[str]
     ddl = "".join(f"{c} {names[c].simpleString()}, " for c in group) + _LISTS + f", keys array<{names['key'].simpleString()}>"
     last = rows.sparkSession.read.parquet(f"{path}/blocks").agg(F.max("block")).first()[0] if mode == "append" else None
     first = 0 if last is None else (last >> 32) + 1
-    own.mapInArrow(_indexer(len(group), kinds, first), ddl).write.mode(mode).parquet(f"{path}/blocks")
+    conf = rows.sparkSession.conf
+    was = {name: conf.get(name, None) for name in BATCH}
+    try:
+        for name, value in BATCH.items():
+            conf.set(name, value)
+        own.mapInArrow(_indexer(len(group), kinds, first), ddl).write.mode(mode).parquet(f"{path}/blocks")
+    finally:
+        for name, value in was.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     return refresh(rows.sparkSession, path, key, group, epsilon)
 
 
