@@ -209,6 +209,22 @@ def test_index_workers_get_bounded_batches(spark, tmp_path):
     assert built.sizes.first()["n"] == rows
 
 
+def test_chunks_are_not_set_aside_to_be_merged(monkeypatch, spark, tmp_path):
+    """Parts are written beside those that they replace, without a checkpoint of their chunks; parts left empty go."""
+    set_aside = []
+    cut = ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df: set_aside.append(df.columns) or cut(df))
+    store = str(tmp_path)
+    pages = spark.createDataFrame([(f"/d/{i}.txt", f"text {i}") for i in range(12)], "source string, text string")
+    ingest.merge_pages(pages, store, parts=4)
+    changed = pages.withColumn("text", F.when(F.col("source") == "/d/3.txt", "new text").when(F.col("source") == "/d/4.txt", "").otherwise(F.col("text")))
+    ingest.merge_pages(changed, store, parts=4)
+    assert _chunks(spark, store) == {(f"{i}.txt", "new text" if i == 3 else f"text {i}") for i in range(12) if i != 4}
+    ingest.remove_sources(spark.createDataFrame([("/d/5.txt",)], "source string"), store)
+    assert len(_chunks(spark, store)) == 10 and read_store(spark, f"{store}/chunks_medium").count() == 10
+    assert not any("raw_text" in columns for columns in set_aside)
+
+
 # windows
 
 
