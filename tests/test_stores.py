@@ -225,6 +225,21 @@ def test_chunks_are_not_set_aside_to_be_merged(monkeypatch, spark, tmp_path):
     assert not any("raw_text" in columns for columns in set_aside)
 
 
+def test_files_of_folders_below_are_loaded(spark, tmp_path):
+    """Folders in the folder are listed by Spark, not by a pattern on the driver, and small files share tasks."""
+    from tidepool.sources import files
+
+    for i in range(40):
+        (tmp_path / "in" / f"name=doc{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"name=doc{i}" / "part.txt").write_text(f"text {i}")
+    pages = files.load_folder(spark, str(tmp_path / "in"), below=True)
+    assert {(r["source"].split("/")[-2], r["text"]) for r in pages.collect()} == {(f"name=doc{i}", f"text {i}") for i in range(40)}
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    ingest.ingest_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), below=True)
+    assert read_store(spark, f"{tmp_path}/out/chunks_small").count() == 40
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == was
+
+
 # windows
 
 
