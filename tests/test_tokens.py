@@ -71,3 +71,21 @@ def test_merging_follows_ranks():
     # bc goes first, then abc; aa pairs from the left, then their own pair
     assert [tokens.merged_length(w, ranks) for w in (b"abc", b"abbc", b"aaa", b"aaaaa", b"aaaabc", b"cccc")] == [1, 2, 2, 2, 3, 4]
     assert tokens.fill(np.array([3, 3, 9, 1, 1, 5]), 6) == [0, 2, 3, 5, 6]
+
+
+def test_nothing_is_shuffled_but_sums(spark, vocabulary):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("string(doc_id) as source", "text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chunks, sums = plan(tokens.split_by_tokens(docs, vocabulary)), plan(tokens.token_lengths(docs, ["source"], vocabulary))
+    assert "Exchange" not in chunks and "Join" not in chunks
+    assert sums.count("Exchange") == 1 and "Join" not in sums
+
+
+def test_memory_of_words_is_bounded(spark, vocabulary, exact, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 3)
+    known = tokens._Known("own")
+    for words in (["der", " xqzzt", "der"], ["b" * 9_000], ["xqzztt", "yqzztt"], [" xqzzt"]):
+        assert known.of(pa.array(words), vocabulary.ranks, 0.5).tolist() == [len(exact.encode_ordinary(w)) for w in words]
+        assert len(known) <= 3 + len(words) and not any(len(w) > 99 for w in known)

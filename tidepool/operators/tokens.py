@@ -1,11 +1,10 @@
-"""Lengths in byte-pair tokens, found once for each distinct word, and chunks cut by them.
+"""Lengths in byte-pair tokens, and chunks cut by them, where the texts lie.
 
-Words are what the vocabulary's pattern splits a text into, on the JVM. The corpus's
-distinct words are counted, each is merged by the vocabulary's ranks once, and the
-lengths are joined back. Words that make up over ``HOT_SHARE`` of all are broadcast:
-there are at most 1 / HOT_SHARE of them, and a word counts as hot only if it is so for
-every 64 bytes it has, so their bytes are bounded by 64 / HOT_SHARE. Only the others are
-shuffled, and none of these stands in more than its share of the rows.
+Words are what the vocabulary's pattern splits a text into, on the JVM. Some hundred rows
+at a time their distinct words are merged by the vocabulary's ranks, so nothing but sums by
+key is shuffled. A worker remembers the lengths of words that make up ``HOT_SHARE`` of such
+a batch, counted for every 64 bytes they have, so that long ones of a single place aren't
+held, and starts anew beyond ``KNOWN_WORDS``; its memory is bounded, whatever the table.
 
 Defined results: a null or empty text has no tokens. Rows of equal keys count together.
 Strings of special tokens are ordinary text. Letters that Java's Unicode tables don't know
@@ -15,18 +14,22 @@ yet count as signs. Texts of any length are counted whole; empty tables give no
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterator, Mapping, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tidepool.checkpoint import cut
+from pyspark.sql.types import LongType, StructField, StructType
 
 HOT_SHARE = 1e-5
+#: Words that a worker remembers before it starts anew, and rows whose words are looked up at once.
+KNOWN_WORDS, BATCH_ROWS = 500_000, 128
 #: Fixed value: the split of byte-level vocabularies into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,35 +86,67 @@ def merged_length(word: bytes, ranks: Mapping[bytes, int]) -> int:
     return sum(map(bool, stop))
 
 
-def word_lengths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, n, n_tokens, hot for the distinct values of the column ``word``; computed once."""
-    spark = words.sparkSession
-    ranks = spark.sparkContext.broadcast(dict(vocabulary.ranks))
-    counted = cut(words.where("word is not null").groupBy("word").agg(F.count("*").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+class _Known(dict):
+    """Lengths of words by the vocabulary of one digest."""
+
+    def __init__(self, digest: str):
+        super().__init__()
+        self.digest = digest
+
+    def of(self, words: pa.Array, ranks: Mapping[bytes, int], share: float) -> np.ndarray:
+        """The length of each word; each distinct one is looked up or merged once."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        n = np.fromiter(map(self.get, distinct, itertools.repeat(0)), np.int64, len(distinct))
+        counts = np.bincount(code, minlength=len(distinct))
+        for i in np.flatnonzero(n == 0).tolist():
+            word = distinct[i].encode()
+            n[i] = merged_length(word, ranks)
+            if counts[i] >= share * len(code) * -(-len(word) // 64):
+                self[distinct[i]] = int(n[i])
+        return n[code]
+
+
+_KNOWN = _Known("")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(n_tokens=[merged_length(w.encode(), ranks.value) for w in b["word"]])
 
-    hot = F.col("n") >= HOT_SHARE * total * F.ceil(F.octet_length("word") / 64)
-    return cut(counted.mapInPandas(run, "word string, n long, n_tokens long").withColumn("hot", hot))
+def _known(digest: str) -> _Known:
+    """One memory a worker process, which serves the tasks that it runs in turn."""
+    global _KNOWN
+    if _KNOWN.digest != digest:
+        _KNOWN = _Known(digest)
+    return _KNOWN
 
 
-def _met(rows: DataFrame, key: Sequence[str], text: str, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(key, word, n_tokens of hot words; key, word, n_tokens of the others)"""
-    split = rows.select(*key, F.explode_outer(vocabulary.words(F.col(text))).alias("word"))
-    lengths = word_lengths(split.select("word"), vocabulary)
-    met = split.join(F.broadcast(lengths.where("hot").select("word", "n_tokens")), "word", "left")
-    cold = met.where("word is not null and n_tokens is null").select(*key, "word").join(lengths.where("not hot").select("word", "n_tokens"), "word")
-    return met, cold
+def _by_batch(rows: DataFrame, schema: str | StructType, vocabulary: Vocabulary, compute: Callable[[list[pa.Array], pa.Array, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """compute(other columns, all words of some rows, their lengths, where each row's begin and the last ends), for rows whose last column has the words."""
+    ranks = rows.sparkSession.sparkContext.broadcast(dict(vocabulary.ranks))
+    digest, share = hashlib.md5(repr(sorted(vocabulary.ranks.items())).encode()).hexdigest(), HOT_SHARE
+    names = [f.name for f in (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                *others, column = batch.slice(at, BATCH_ROWS).columns
+                words = column.flatten()
+                bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays(compute(others, words, _known(digest).of(words, ranks.value, share), bounds), names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def token_lengths(rows: DataFrame, key: Sequence[str], vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """key, n_tokens: the length of each key's texts."""
-    met, cold = _met(rows, key, text, vocabulary)
-    both = met.select(*key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).unionByName(cold.select(*key, "n_tokens"))
-    return both.groupBy(*key).agg(F.sum("n_tokens").alias("n_tokens"))
+    own = rows.select(*key, vocabulary.words(F.col(text)).alias("words"))
+    schema = StructType([*own.drop("words").schema.fields, StructField("n_tokens", LongType())])
+
+    def sums(keys: list[pa.Array], words: pa.Array, lengths: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        return [*keys, pa.array(np.diff(np.append(0, np.cumsum(lengths))[bounds]))]
+
+    return _by_batch(own, schema, vocabulary, sums).groupBy(*key).agg(F.sum("n_tokens").alias("n_tokens"))
 
 
 def fill(lengths: np.ndarray, size: int) -> list[int]:
@@ -128,31 +163,19 @@ def split_by_tokens(pages: DataFrame, vocabulary: Vocabulary, size: int = 100) -
     """source, small_chunk_idx, n_chunks, n_tokens, raw_text: runs of whole words of at most ``size`` tokens.
 
     A word that is longer stands alone. A source's chunks put together are its text;
-    rows of one source are cut each on their own, so their numbers repeat. The lengths of
-    a text's rare words come to it by the text's digest, those of hot words are with
-    every task, so only texts and rare words are shuffled.
+    rows of one source are cut each on their own, so their numbers repeat. Nothing is shuffled.
     """
-    spark = pages.sparkSession
-    named = pages.select("source", "text", F.xxhash64("source", "text").alias("page"), F.md5("text").alias("digest")).where("text <> ''")
-    page = ["page", "digest"]
-    split = named.select(*page, F.explode(vocabulary.words(F.col("text"))).alias("word"))
-    lengths = word_lengths(split.select("word"), vocabulary)
-    hot = lengths.where("hot").select("word", "n_tokens")
-    known = spark.sparkContext.broadcast({r["word"]: r["n_tokens"] for r in hot.toLocalIterator()})
-    rare = split.join(F.broadcast(hot.select("word")), "word", "left_anti").dropDuplicates([*page, "word"]).join(lengths.where("not hot").select("word", "n_tokens"), "word")
-    rare = rare.groupBy(*page).agg(F.collect_list("word").alias("rare"), F.collect_list("n_tokens").alias("sizes"))
-    ready = named.join(rare, page, "left").select("source", vocabulary.words(F.col("text")).alias("words"), "rare", "sizes")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for source, words, rare, sizes in b[["source", "words", "rare", "sizes"]].itertuples(index=False, name=None):
-                if words is None or not len(words):
-                    continue
-                own = dict(zip(rare, sizes, strict=True)) if rare is not None else {}
-                n = np.fromiter((known.value.get(w) or own[w] for w in words), np.int64, len(words))
-                cuts = fill(n, size)
-                out += [(source, i, len(cuts) - 1, int(n[a:z].sum()), "".join(words[a:z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            yield pd.DataFrame(out, columns=["source", "small_chunk_idx", "n_chunks", "n_tokens", "raw_text"])
-
-    return ready.mapInPandas(run, "source string, small_chunk_idx int, n_chunks int, n_tokens long, raw_text string")
+    own = pages.where("text <> ''").select("source", vocabulary.words(F.col("text")).alias("words"))
+
+    def chunks(others: list[pa.Array], words: pa.Array, lengths: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        cuts = [a + np.array(fill(lengths[a:z], size)) for a, z in itertools.pairwise(bounds.tolist())]
+        n = np.array([len(c) - 1 for c in cuts])
+        starts, ends = (np.concatenate([np.empty(0, np.int64), *[c[of] for c in cuts]]) for of in (slice(-1), slice(1, None)))
+        row = np.repeat(np.arange(len(n)), n)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        total = np.append(0, np.cumsum(lengths))
+        # a row's words put together are its text, and so lie side by side: a chunk is what is between two of them
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:] if len(ends) else 0).astype(np.int32)), words), "")
+        return [others[0].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n[row].astype(np.int32)), pa.array(total[ends] - total[starts]), texts]
+
+    return _by_batch(own, "source string, small_chunk_idx int, n_chunks int, n_tokens long, raw_text string", vocabulary, chunks)

@@ -67,7 +67,7 @@ def _vocabulary():
 
 
 def bpe_token_lengths(spark, sf):
-    """C1 in byte-pair tokens: each distinct word of the corpus is merged once."""
+    """C1 in byte-pair tokens: a batch's distinct words are merged where the texts lie."""
     docs = spread(_table(spark, sf, "documents").select("doc_id", "text"), f"{sf}/documents.parquet")
     return bpe_tokens.token_lengths(docs, ["doc_id"], _vocabulary())
 
