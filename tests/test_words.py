@@ -74,3 +74,14 @@ def test_no_rows_and_no_periods(spark):
     assert words.tokenize(none, ["n"]).count() == 0
     plain = spark.createDataFrame([(1, "no period at all")], "n int, text string")
     assert words.tokenize(plain, ["n"]).first()["tokens"] == ["no", "period", "at", "all"]
+
+
+def test_counts_of_distinct_stretches_are_those_of_texts(spark):
+    odd = ["", " ", None, "a", " don't\u2028", "don't\u2028 ", "don't\u2028\n", "don't\u2028x I'd've've", "they're\u0085 we'll\u2029", "it's\u2029", "\x01a\x02 1,2:3,4,5 ,6", "--- -- - ...a. b..", "he said:\"can't!\"\r\nwe're\x0bI'd'd\x0c's 'll x's\r", "don't don't don't", "a\u0085b's\u0085", "'s's's A'S.", "n't\u00a0can't\u00a0"]
+    rows = spark.createDataFrame([(t,) for t in TEXTS + odd], "text string")
+    want = {r["token"]: r["n"] for r in lemmas.vocabulary(rows.select(words.raw_tokens(rows["text"]).alias("tokens"))).collect()}
+    assert {r["token"]: r["n"] for r in words.raw_vocabulary(rows).collect()} == want
+    assert words.raw_vocabulary(rows.limit(0)).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    both = words.raw_vocabulary(docs), lemmas.vocabulary(docs.select(words.raw_tokens(docs["text"]).alias("tokens")))
+    assert both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.checkpoint import cut
 from tidepool.functions.text import SPACES
 from tidepool.operators import lemmas
 
@@ -51,6 +52,20 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def raw_vocabulary(rows: DataFrame, text: str = "text") -> DataFrame:
+    """token, n: the distinct raw tokens of all texts; computed once.
+
+    No rule reaches beyond white space, so the rules rewrite distinct stretches without any, not texts.
+    Only in a text's last stretch an ending may stand before a line end that is no white space here.
+    """
+    split = rows.select(F.split(text, SPACES).alias("stretches"))
+    each = split.select((F.size("stretches") - 1).alias("last"), F.posexplode("stretches").alias("pos", "stretch"))
+    final = (F.col("pos") == F.col("last")) & F.col("stretch").rlike(r"[\u0085\u2028\u2029]\z")
+    counted = cut(each.where("stretch <> ''").groupBy("stretch", final.alias("final")).agg(F.count("*").alias("n")))
+    follow = F.when(F.col("final"), F.col("stretch")).otherwise(F.concat("stretch", F.lit(" ")))
+    return cut(counted.select(F.explode(raw_tokens(follow)).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n")))
+
+
 def _ends(token: Column) -> Column:
     """Whether it ends in one period that follows something else."""
     return token.rlike(r"[^.]\.$")

@@ -192,7 +192,7 @@ def lemma_documents(spark, sf):
 
 def _raw_words(spark, sf):
     docs = spread(_table(spark, sf, "documents").select("text"), f"{sf}/documents.parquet")
-    return lemmas.vocabulary(docs.select(words.raw_tokens(F.col("text")).alias("tokens")))
+    return words.raw_vocabulary(docs)
 
 
 def learnt_abbreviations(spark, sf):
