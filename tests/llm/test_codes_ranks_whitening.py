@@ -91,6 +91,19 @@ def test_bpe_awkward(spark, library):
         bpe.Encoder(path.replace("word_bpe_49k", "byte_bpe_50k"))
 
 
+def test_ids_are_decoded_from_a_table_of_tokens(spark, library):
+    """Null, negative and unknown ids are left out; tokens are taken by id in one call, not one by one."""
+    path = queries.tokenizer_path()
+    table = bpe._token_table(path)
+    assert [table[i].as_py() for i in (0, 1, 5, 49407)] == [library.id_to_token(i) for i in (0, 1, 5, 49407)]
+    rows = [(1, [7, None, 9]), (2, [None, -1, 10**9]), (3, None), (4, []), (5, [49407, 3])] + [(n, [n, 2 * n]) for n in range(6, 600)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>")
+    want = {k: library.decode([i for i in ids or [] if i is not None and 0 <= i < 49408], skip_special_tokens=False) for k, ids in rows}
+    assert {r["k"]: r["decoded"] for r in bpe.decode(df, path).collect()} == want
+    longs = df.selectExpr("k", "cast(ids as array<bigint>) as ids")
+    assert {r["k"]: r["decoded"] for r in bpe.decode(longs, path).collect()} == want
+
+
 # ranked search
 
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def _rules(path: str) -> tuple[dict, dict]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_TOKENS: dict[str, dict[int, str]] = {}
+_TOKENS: dict[str, pa.Array] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -212,10 +213,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _token_table(path: str) -> dict[int, str]:
+def _token_table(path: str) -> pa.Array:
+    """Each id's token in the id's place; null where the vocabulary has none."""
     if path not in _TOKENS:
         rules, model = _rules(path)
-        _TOKENS[path] = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in rules.get("added_tokens", ())}
+        by_id = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in rules.get("added_tokens", ())}
+        _TOKENS[path] = pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.large_string())
     return _TOKENS[path]
 
 
@@ -254,14 +257,14 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col:
     """rows with the text of their ids: the tokens' own letters, parted by spaces, as this tokenizer has no decoder."""
 
     def text_of(ids: pa.Array) -> pa.Array:
-        tokens = _token_table(tokenizer_path)
-        known = tokens.keys()
-        out = []
-        for row in ids.to_pylist():
-            try:
-                out.append(" ".join(map(tokens.__getitem__, row or ())))
-            except KeyError:
-                out.append(" ".join(tokens[i] for i in row if i in known))
-        return pa.array(out, pa.string())
+        table = _token_table(tokenizer_path)
+        flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+        known = (number >= 0) & (number < len(table))
+        known[known] = table.is_valid().to_numpy(zero_copy_only=False)[number[known]]
+        owner = np.repeat(np.arange(len(ids)), sizes)[known]
+        ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(ids))))
+        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.take(pa.array(number[known])))
+        return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
     return _with_column(rows, ids_col, text_col, "string", text_of)
