@@ -35,6 +35,17 @@ def test_query_equals_the_library(spark, sf, library):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_query_has_one_worker_a_task(spark, sf):
+    """One pass gives what encode and then decode give."""
+    path = queries.tokenizer_path()
+    plan = queries.QUERIES["op11_bpe"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    docs = spark.createDataFrame([(1, "a <|endoftext|> é's", "x"), (2, None, "y"), (3, "", None), (4, "Tide\n pools 12", "z")], "doc_id long, text string, IDS string")
+    want = bpe.decode(bpe.encode(docs, path), path)
+    got = bpe.encode_and_decode(docs, path)
+    assert got.columns == want.columns and got.collect() == want.collect()
+
+
 def test_no_token_crosses_a_cut(library):
     e = bpe.Encoder(queries.tokenizer_path())
     letters = sorted({c for t in library.get_vocab() if "<|" not in t for c in t.removesuffix("</w>")})

@@ -16,7 +16,7 @@ empty text. Special tokens that stand in a text get their own ids. Ids that the
 vocabulary doesn't hold are left out by ``decode``. Rows are encoded each on its
 own, so repeated rows and ties need no rule. Texts of any length are encoded
 whole, as long as a batch's ids fit a worker. Other columns pass through
-``encode`` and ``decode``, but for those that have the names of their results,
+``encode``, ``decode`` and both in one, but for those that have the names of their results,
 which are replaced. Empty tables give no rows.
 """
 
@@ -222,49 +222,60 @@ def _token_table(path: str) -> pa.Array:
     return _TOKENS[path]
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: str, compute) -> DataFrame:
-    """``compute`` makes an Arrow array of the source column, some hundred rows at a time; the other columns pass through."""
+def _with_columns(df: DataFrame, source: str, kinds: dict[str, str], compute) -> DataFrame:
+    """``compute`` makes Arrow arrays, one a name of kinds, of the source column, some hundred rows at a time; the other columns pass through."""
     held = unused(df.columns, "source_column")
-    others = [c for c in df.columns if c.lower() != name.lower()]
+    replaced = {c.lower() for c in kinds}
+    others = [c for c in df.columns if c.lower() not in replaced]
     # names could be equal but for their case: they go by place
     given = df.select(F.col(f"`{source}`").alias(held), *[F.col(f"`{c}`") for c in others])
-    schema = given.drop(held).withColumn(name, F.lit(None).cast(kind)).schema
+    schema = given.drop(held).select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], compute(part.column(0))], names=[*part.schema.names[1:], name])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *compute(part.column(0))], names=[*part.schema.names[1:], *kinds])
 
     return given.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with an array<int> of each text's token ids, as the tokenizers library gives them without added special tokens."""
+def _ids_of(texts: pa.Array, path: str) -> pa.Array:
+    found = encoder(path).encode([t or "" for t in texts.to_pylist()])
+    ends = np.cumsum([0, *map(len, found)])
+    if ends[-1] > 2**31 - 1:
+        raise ValueError("the texts of one batch have over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
 
-    def ids_of(texts: pa.Array) -> pa.Array:
-        found = encoder(tokenizer_path).encode([t or "" for t in texts.to_pylist()])
-        ends = np.cumsum([0, *map(len, found)])
-        if ends[-1] > 2**31 - 1:
-            raise ValueError("the texts of one batch have over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+def _text_of(ids: pa.Array, path: str) -> pa.Array:
+    table = _token_table(path)
+    flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    number = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+    known = (number >= 0) & (number < len(table))
+    known[known] = table.is_valid().to_numpy(zero_copy_only=False)[number[known]]
+    owner = np.repeat(np.arange(len(ids)), sizes)[known]
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(ids))))
+    tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.take(pa.array(number[known])))
+    return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
-    return _with_column(docs, text_col, ids_col, "array<int>", ids_of)
+
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with an array<int> of each text's token ids, as the tokenizers library gives them without added special tokens."""
+    return _with_columns(docs, text_col, {ids_col: "array<int>"}, lambda texts: [_ids_of(texts, tokenizer_path)])
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of their ids: the tokens' own letters, parted by spaces, as this tokenizer has no decoder."""
+    return _with_columns(rows, ids_col, {text_col: "string"}, lambda ids: [_text_of(ids, tokenizer_path)])
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: a task has one worker, and ids don't leave it to come back."""
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = _ids_of(texts, tokenizer_path)
+        return [ids, _text_of(ids, tokenizer_path)]
 
-    def text_of(ids: pa.Array) -> pa.Array:
-        table = _token_table(tokenizer_path)
-        flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        number = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
-        known = (number >= 0) & (number < len(table))
-        known[known] = table.is_valid().to_numpy(zero_copy_only=False)[number[known]]
-        owner = np.repeat(np.arange(len(ids)), sizes)[known]
-        ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(ids))))
-        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.take(pa.array(number[known])))
-        return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
-
-    return _with_column(rows, ids_col, text_col, "string", text_of)
+    return _with_columns(docs, text_col, {ids_col: "array<int>", decoded_col: "string"}, both)

@@ -70,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    both = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
